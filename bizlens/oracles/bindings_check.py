@@ -1,0 +1,3 @@
+from bizlens.oracles.views import with_views
+V={"zz_order":"biz_order","zz_post":"biz_post","zz_product":"product","zz_pres":"partner_result","zz_snap":"snapshots","zz_lead":"lead","zz_signal":"lead_signal","zz_daily":"d2c_daily","zz_dorder":"d2c_order","zz_dlead":"d2c_lead"}
+ORACLES={k: with_views(f"SELECT * {'EXCLUDE (ordered_at)' if k=='zz_dorder' else 'EXCLUDE (created_at,first_response_at,won_at)' if k=='zz_dlead' else ''} FROM {v}", v) for k,v in V.items()}

@@ -1,0 +1,16 @@
+from bizlens.plans.bindings import Tables
+from pyspark.sql import functions as F
+def s(df):
+    return df.select(*[F.col(c).cast("double").alias(c) if t.startswith("decimal") else F.col(c).cast("string").alias(c) if t in("date","timestamp") or t.startswith("array") else F.col(c) for c,t in df.dtypes])
+QUERIES = {
+ "zz_order": lambda sp,d: s(Tables(sp,d).orders()),
+ "zz_post": lambda sp,d: s(Tables(sp,d).posts()),
+ "zz_product": lambda sp,d: s(Tables(sp,d).products()),
+ "zz_pres": lambda sp,d: s(Tables(sp,d).partner_results()),
+ "zz_snap": lambda sp,d: s(Tables(sp,d).snapshots()),
+ "zz_lead": lambda sp,d: s(Tables(sp,d).leads()),
+ "zz_signal": lambda sp,d: s(Tables(sp,d).lead_signals()),
+ "zz_daily": lambda sp,d: s(Tables(sp,d).d2c_daily()),
+ "zz_dorder": lambda sp,d: s(Tables(sp,d).d2c_orders()).drop("ordered_at"),
+ "zz_dlead": lambda sp,d: s(Tables(sp,d).d2c_leads()).drop("created_at","first_response_at","won_at"),
+}
