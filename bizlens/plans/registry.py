@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-AREAS = ("bindings_check", "sources", "imports", "order_metrics", "d2c", "facts", "leads", "model", "calendar", "projection", "diagnosis",
+AREAS = ("sources", "imports", "order_metrics", "d2c", "facts", "leads", "model", "calendar", "projection", "diagnosis",
          "actions", "outreach", "followup", "grounding", "streams")
 
 
