@@ -109,3 +109,13 @@ def two_level_rank(df: DataFrame, part: Sequence[str], coarse: Sequence[Column],
     inside = Window.partitionBy(*part, *names).orderBy(*fine)
     joined = keyed.join(offsets.select(*part, *names, "_off"), [*part, *names])
     return joined.select(*df.columns, (F.col("_off") + F.row_number().over(inside)).cast("bigint").alias(out))
+
+
+def settle(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Compute this projection's columns once and let later filters read them.
+
+    The optimizer pushes a filter below the projections it refers to and writes their expressions out in full, which
+    grows without bound when derived columns build on each other. A generator is where that stops.
+    """
+    made = [c for c in df.columns if c not in keep]
+    return df.select(*keep, F.inline(F.array(F.struct(*made))))

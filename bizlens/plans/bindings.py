@@ -231,3 +231,52 @@ class Tables:
 
 def lead_id(user, day):
     return F.concat(F.lit("lead_"), user.cast("string"), F.lit("_"), day.cast("string"))
+
+
+ORDER_MAPPING = {
+    "order_id": "Order ID", "ordered_at": "Order Date", "customer_id": "Customer", "channel": "UTM Source", "campaign_id": "UTM Campaign",
+    "payment_mode": "Payment Method", "revenue": "Order Amount (INR)", "discount": "Discount (INR)", "status": "Fulfilment Status", "items": "Items",
+    "relationship": "How found", "product": "Product", "quantity": "Quantity", "post_id": "Source Post", "dispatched_at": "Dispatched On"}
+
+
+def case(pairs, otherwise):
+    expr = None
+    for cond, value in pairs:
+        value = value if not isinstance(value, str) else F.lit(value)
+        expr = F.when(cond, value) if expr is None else expr.when(cond, value)
+    return expr.otherwise(F.lit(otherwise) if isinstance(otherwise, str) else otherwise)
+
+
+def raw_sheet(t: Tables) -> DataFrame:
+    """Order lines as a messy order sheet: four imports, planted defects, exact repeats of every row with k % 11 = 0."""
+    line = t.read("lineitem")
+    k = F.col("l_orderkey") * 7 + F.col("l_linenumber")
+    copies = F.explode(F.sequence(F.lit(0), F.when(k % 11 == 0, 1).otherwise(0))).alias("copy")
+    base = line.select("*", copies, k.alias("k"), F.col("l_shipdate").cast("date").alias("d"), F.floor(F.col("l_extendedprice") / 10).cast("bigint").alias("a"),
+                       ((F.col("l_partkey") * 100000 + F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date"))) * 64
+                        + F.col("l_quantity").cast("bigint")).alias("pos"))
+    k, s = F.col("k"), (lambda c: F.col(c).cast("string"))
+    day = F.col("d")
+    return base.select(
+        F.concat(F.lit("imp_orders_"), (F.col("l_orderkey") % 4).cast("string")).alias("import_id"), (F.col("pos") * 2 + F.col("copy")).alias("source_row"),
+        case([(k % 97 == 0, "")], F.concat_ws("-", s("l_orderkey"), s("l_linenumber"))).alias("Order ID"),
+        case([(k % 101 == 0, "not a date"), (k % 103 == 0, ""), (k % 13 == 0, F.date_format(day, "dd/MM/yyyy")),
+              (k % 14 == 0, F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T10:30:00Z"))), (k % 15 == 0, F.date_format(day, "dd-MM-yyyy"))],
+             F.date_format(day, "yyyy-MM-dd")).alias("Order Date"),
+        s("l_suppkey").alias("Customer"),
+        case([(k % 23 == 0, "TikTok"), (k % 29 == 0, ""), (F.col("l_returnflag") == "A", "Instagram Ads"), (F.col("l_returnflag") == "R", "Google CPC")], "direct").alias("UTM Source"),
+        case([(k % 5 == 0, "")], F.concat(F.lit("camp_"), (F.col("l_suppkey") % 7).cast("string"))).alias("UTM Campaign"),
+        case([(k % 6 == 0, "COD"), (k % 6 == 1, "UPI"), (k % 6 == 2, "Card"), (k % 6 == 3, "barter"), (k % 6 == 4, "")], "Cash on Delivery").alias("Payment Method"),
+        case([(k % 107 == 0, "abc"), (k % 109 == 0, "-5"), (k % 103 == 1, ""), (k % 17 == 0, (F.col("a") * 100).cast("string")),
+              (k % 19 == 0, F.concat(F.lit("Rs. "), F.format_number("a", 0))), (k % 2 == 0, F.concat(s("a"), F.lit(".50")))], s("a")).alias("Order Amount (INR)"),
+        case([(k % 3 == 0, "")], F.round(F.col("l_discount") * 100).cast("bigint").cast("string")).alias("Discount (INR)"),
+        case([(k % 31 == 0, "lost in post"), (k % 37 == 0, ""), (F.col("l_linestatus") == "F", " Delivered ")], "Returned to Origin").alias("Fulfilment Status"),
+        case([(k % 4 == 1, F.concat(F.lit("Item "), (F.col("l_partkey") % 50).cast("string"), F.lit("|Mug")))],
+             F.concat(F.lit("Item "), (F.col("l_partkey") % 50).cast("string"), F.lit(" x"), F.col("l_quantity").cast("bigint").cast("string"), F.lit("; Cap x1"))).alias("Items"),
+        case([(k % 7 == 0, "my friend"), (k % 7 == 1, "Friend of friend"), (k % 7 == 2, "Found on Insta!"), (k % 7 == 3, "FoF"), (k % 7 == 4, "cousin (family)"),
+              (k % 7 == 5, "???")], "").alias("How found"),
+        case([(k % 5 == 2, F.concat(F.lit("Item "), (F.col("l_partkey") % 50).cast("string")))], "").alias("Product"),
+        case([(k % 113 == 0, "2.5"), (k % 8 == 0, "")], F.col("l_quantity").cast("bigint").cast("string")).alias("Quantity"),
+        case([(k % 10 == 0, F.concat(F.lit("p"), s("l_suppkey")))], "").alias("Source Post"),
+        case([(k % 127 == 0, "soon"), (k % 3 == 0, ""), (k % 26 == 1, F.date_format(F.date_add(day, 2), "dd/MM/yyyy"))],
+             F.date_format(F.date_add(day, 2), "yyyy-MM-dd")).alias("Dispatched On"))
