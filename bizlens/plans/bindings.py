@@ -280,3 +280,49 @@ def raw_sheet(t: Tables) -> DataFrame:
         case([(k % 10 == 0, F.concat(F.lit("p"), s("l_suppkey")))], "").alias("Source Post"),
         case([(k % 127 == 0, "soon"), (k % 3 == 0, ""), (k % 26 == 1, F.date_format(F.date_add(day, 2), "dd/MM/yyyy"))],
              F.date_format(F.date_add(day, 2), "yyyy-MM-dd")).alias("Dispatched On"))
+
+
+def contact_history(t: Tables) -> DataFrame:
+    """One row per order: what the seller knew of the customer before it, and whether it beat their average so far.
+
+    Orders are summed per (customer, day) first; the running sums step over days and only a day's own orders are
+    ordered one by one.
+    """
+    o = t.read("orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer"), F.col("o_orderdate").cast("date").alias("day"),
+                                F.col("o_orderstatus").alias("status"), F.col("o_totalprice").cast("decimal(14,2)").alias("price"))
+    days = o.groupBy("customer", "day").agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("s"), F.max(F.struct("order_id", "status"))["status"].alias("last_status"))
+    run = Window.partitionBy("customer").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    step = Window.partitionBy("customer").orderBy("day")
+    days = days.select("customer", "day", F.coalesce(F.sum("n").over(run), F.lit(0)).alias("n0"), F.sum("s").over(run).alias("s0"),
+                       F.lag("last_status").over(step).alias("status0"), F.lag("day").over(step).alias("day0"))
+    inside = Window.partitionBy("customer", "day").orderBy("order_id")
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("decimal(14,2)")
+    x = o.join(days, ["customer", "day"]).select(
+        "*", F.row_number().over(inside).alias("r"), F.coalesce(F.sum("price").over(before), zero).alias("s1"), F.lag("status").over(inside).alias("status1"))
+    prior = F.col("n0") + F.col("r") - 1
+    last = F.coalesce("status1", "status0")
+    last_day = F.when(F.col("r") > 1, F.col("day")).otherwise(F.col("day0"))
+    return x.select(
+        "order_id", "customer", "day", F.month("day").cast("bigint").alias("month"),
+        F.when(last.isNull(), "nonexistent").when(last == "F", "success").otherwise("failure").alias("previous_outcome"), prior.alias("prior_contacts"),
+        F.when(last_day.isNull(), 999).otherwise(F.datediff("day", last_day)).cast("bigint").alias("days_since_last_contact"),
+        (F.lit(1) + F.col("order_id") % 4).alias("contacts_this_campaign"),
+        F.when((prior > 0) & (F.col("price") * prior.cast("decimal(12,0)") > F.coalesce("s0", zero) + F.col("s1")), 1).otherwise(0).cast("bigint").alias("y"))
+
+
+def chat_lines(t: Tables) -> DataFrame:
+    """Pasted chat lines: each conversation turn picks one of twelve line texts and fills in a product name."""
+    conv = t.read("conversations").select("conv_id", "turn", (F.col("conv_id") % 200).alias("pk"))
+    part = t.read("part").select(F.col("p_partkey").alias("pk"), F.col("p_name").alias("p"))
+    c = (F.col("conv_id") % 40).cast("string")
+    p = F.col("p")
+    lines = [F.concat(F.lit("@riya.k (dm): price of the "), p, F.lit(" in size L? deliver to Pune")), F.concat(F.lit("@fan_"), c, F.lit(" (comment): this one 🔥 obsessed")),
+             F.concat(F.lit("[04/10/26, 9:41 am] Riya Shah: is the "), p, F.lit(" in stock?")), F.lit("04/10/2026, 21:05 - Aman: love your page"),
+             F.lit("@shop_x (dm): collab? we promote small brands"), F.concat(F.lit("@neel"), c, F.lit(" (story): can you make one with my name, XL")),
+             F.lit("just some text without a format"), F.concat(F.lit("@mira_"), c, F.lit(" (whatsapp): my number is +91 98765 43210 call me")),
+             F.concat(F.lit("@zed_"), c, F.lit(" (dm): mail me at zed@mail.com about custom "), p), F.lit("[31/31/26, 9:41 am] Odd Date: do you ship to Jaipur?"),
+             F.concat(F.lit("@a_"), c, F.lit(" (story): love this "), p, F.lit(" need it")), F.lit("  @Riya.K (DM): ask @someone.else about cod  ")]
+    pick = (F.col("conv_id") * 7 + F.col("turn")) % 12
+    return conv.join(part, "pk").select((F.col("conv_id") % 5).alias("business_id"), "conv_id", "turn", (F.col("conv_id") * 1000 + F.col("turn")).alias("msg_no"),
+                                        F.get(F.array(*lines), pick.cast("int")).alias("line"))
