@@ -81,9 +81,10 @@ def block_of(idx: Column, n: Column, k: int) -> Column:
 
 
 # ---------------------------------------------------------------- metrics
-def ranking_metrics(scored: DataFrame, model: str = "model", p: str = "p", y: str = "y") -> DataFrame:
+def ranking_metrics(scored: DataFrame, model: str = "model", p: str = "p", y: str = "y", weight: str | None = None) -> DataFrame:
     """ROC-AUC and average precision per model, exact, from running counts over distinct scores."""
-    hist = scored.groupBy(model, F.col(p).alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sum(y).cast("bigint").alias("pos"))
+    w = F.col(weight) if weight else F.lit(1)
+    hist = scored.groupBy(model, F.col(p).alias("p")).agg(F.sum(w).cast("bigint").alias("n"), F.sum(w * F.col(y)).cast("bigint").alias("pos"))
     c = two_level_cumsum(hist, [model], "p", {"seen": "n", "tp": "pos"}, descending=True)
     neg, all_neg = F.col("seen") - F.col("tp"), F.col("seen_all") - F.col("tp_all")
     own_neg = F.col("n") - F.col("pos")
@@ -109,51 +110,55 @@ def calibration_metrics(scored: DataFrame, model: str = "model", p: str = "p", y
                                         half_even(ratio(F.col("ty"), F.col("tn")) / prev, 6).alias("lift_at_10pct"))
 
 
-# ---------------------------------------------------------------- training (models are fitted by Spark ML on whole tables)
-def _vector(df: DataFrame, cols: list[str]) -> DataFrame:
+# ---------------------------------------------------------------- training
+# Clipped features take few values, so rows with equal features and label are counted into weighted cells first (at most
+# a few thousand per fold). Every fit then iterates over cells, whatever the number of rows.
+RAW = [f"x_{n}" for n in mdl.FEATURES]
+
+
+def training_cells(dev: DataFrame, keys: list[str]) -> DataFrame:
+    return dev.groupBy(*keys, "y").agg(F.count(F.lit(1)).cast("double").alias("w"))
+
+
+def with_vector(df: DataFrame, cols: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=cols, outputCol="features").transform(df)
 
 
-def _lr(n: int, c: float) -> LogisticRegression:
-    return LogisticRegression(labelCol="y", maxIter=100, regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False)
+def fit_lr(cells: DataFrame, total: float, c: float):
+    """L2 logistic regression whose penalty matches strength C on `total` rows."""
+    return LogisticRegression(labelCol="y", weightCol="w", maxIter=25, regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False).fit(cells)
 
 
-def _probability(model, df: DataFrame) -> DataFrame:
+def predict(model, df: DataFrame) -> DataFrame:
     out = model.transform(df)
     return out.withColumn("p", F.get(MF.vector_to_array("probability"), F.lit(1))).drop("rawPrediction", "probability", "prediction")
 
 
-def out_of_fold(dev: DataFrame, n: int, c: float, folds: int = 4) -> DataFrame:
-    """Each block predicted by a model that never saw it."""
-    marked = dev.withColumn("fold", block_of(F.col("idx"), F.lit(n), folds))
+def out_of_fold(cells: DataFrame, total: float, c: float, folds: int = 4) -> DataFrame:
+    """Cells of each block predicted by a model that never saw the block."""
     parts = None
     for f in range(folds):
-        train = marked.where(F.col("fold") != f)
-        fitted = _lr(n - n // folds, c).fit(train)
-        part = _probability(fitted, marked.where(F.col("fold") == f))
+        fitted = fit_lr(cells.where(F.col("fold") != f), total * (folds - 1) / folds, c)
+        part = predict(fitted, cells.where(F.col("fold") == f))
         parts = part if parts is None else parts.unionByName(part)
     return parts.withColumn("model", F.lit(f"C={c}"))
 
 
-def fit_calibrators(oof: DataFrame, folds: int = 4):
-    """Sigmoid and isotonic calibrators with their cross-validated Brier scores, as one DataFrame of (method, brier)."""
+def calibrator_scores(oof: DataFrame, folds: int = 4) -> DataFrame:
+    """Cross-validated Brier score of the sigmoid and the isotonic calibrator on out-of-fold predictions."""
     q = F.least(F.greatest(F.col("p"), F.lit(1e-6)), F.lit(1 - 1e-6))
-    data = _vector(oof.withColumn("logit", F.log(q / (1 - q))).drop("features"), ["logit"])
+    data = with_vector(oof.withColumn("logit", F.log(q / (1 - q))).select("fold", "y", "w", "p", "logit"), ["logit"]).persist()
     rows = None
     for f in range(folds):
         train, test = data.where(F.col("fold") != f), data.where(F.col("fold") == f)
-        sig = _probability(LogisticRegression(labelCol="y", maxIter=100, regParam=0.0).fit(train), test.drop("p")).select("fold", "y", "p", F.lit("sigmoid").alias("method"))
-        iso = IsotonicRegression(featuresCol="p", labelCol="y", predictionCol="cal").fit(train).transform(test).select("fold", "y", F.col("cal").alias("p"), F.lit("isotonic").alias("method"))
-        part = sig.unionByName(iso)
+        sig = predict(LogisticRegression(labelCol="y", weightCol="w", maxIter=25, regParam=0.0).fit(train), test.drop("p")).select("fold", "y", "w", "p", F.lit("sigmoid").alias("method"))
+        iso = IsotonicRegression(featuresCol="p", labelCol="y", weightCol="w", predictionCol="cal").fit(train).transform(test)
+        part = sig.unionByName(iso.select("fold", "y", "w", F.col("cal").alias("p"), F.lit("isotonic").alias("method")))
         rows = part if rows is None else rows.unionByName(part)
-    per = rows.groupBy("method", "fold").agg(F.avg((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))).alias("b"))
+    err = F.col("w") * (F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))
+    per = rows.groupBy("method", "fold").agg((F.sum(err) / F.sum("w")).alias("b"))
     return per.groupBy("method").agg(half_even(F.avg("b"), 6).alias("cv_brier"))
 
 
-def challengers(dev: DataFrame, test: DataFrame, n: int, c: float, raw_cols: list[str], month_cols: list[str]) -> DataFrame:
-    """Hold-out scores of the boosted trees and of the model that also sees the month."""
-    trees = GBTClassifier(labelCol="y", maxIter=20, maxDepth=3, stepSize=0.05, seed=0).fit(_vector(dev.drop("features"), raw_cols))
-    a = _probability(trees, _vector(test.drop("features"), raw_cols)).select("idx", "y", "p", F.lit("boosted_trees").alias("model"))
-    cols = raw_cols + month_cols
-    b = _probability(_lr(n, c).fit(_vector(dev.drop("features"), cols)), _vector(test.drop("features"), cols)).select("idx", "y", "p", F.lit("with_month").alias("model"))
-    return a.unionByName(b)
+def fit_trees(cells: DataFrame):
+    return GBTClassifier(labelCol="y", weightCol="w", maxIter=20, maxDepth=3, stepSize=0.05, seed=0).fit(cells)
