@@ -326,3 +326,18 @@ def chat_lines(t: Tables) -> DataFrame:
     pick = (F.col("conv_id") * 7 + F.col("turn")) % 12
     return conv.join(part, "pk").select((F.col("conv_id") % 5).alias("business_id"), "conv_id", "turn", (F.col("conv_id") * 1000 + F.col("turn")).alias("msg_no"),
                                         F.get(F.array(*lines), pick.cast("int")).alias("line"))
+
+
+def event_windows(t: Tables) -> DataFrame:
+    """One window a month, first Friday to Sunday, for every month orders or events fall in."""
+    months = t.read("orders").select(F.trunc(F.col("o_orderdate").cast("date"), "month").alias("m")).unionByName(
+        t.read("events").select(F.trunc(F.col("ts").cast("date"), "month").alias("m"))).distinct()
+    friday = F.next_day(F.date_sub("m", 1), "FRI")
+    return months.select(F.concat(F.lit("Weekend "), F.date_format("m", "yyyy-MM")).alias("name"), F.lit("race_weekend").alias("kind"), friday.alias("window_start"), F.date_add(friday, 2).alias("window_end"))
+
+
+def festivals(t: Tables) -> DataFrame:
+    """The 20th of every such month; even months are flagged as demand windows."""
+    w = event_windows(t)
+    m = F.trunc("window_start", "month")
+    return w.select(F.concat(F.lit("Festival "), F.date_format(m, "yyyy-MM")).alias("name"), F.date_add(m, 19).alias("date"), (F.month(m) % 2 == 0).alias("demand_window"))
