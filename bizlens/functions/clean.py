@@ -87,8 +87,11 @@ def dictionary(text: Column, words: dict, default: str) -> Column:
 
 
 def relationship(text: Column) -> Column:
-    """How the buyer knows the seller; friend of a friend is tested before friend, friend before stranger."""
-    t = norm_header(text)
+    return relationship_of(norm_header(text))
+
+
+def relationship_of(t: Column) -> Column:
+    """How the buyer knows the seller, from normalised text; friend of a friend is tested before friend, friend before stranger."""
 
     def has(words):
         out = F.lit(False)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bizlens.functions.numbers import money
+from bizlens.sources.tables import spread_small
 
 HISTORY_START = "1995-01-02"
 ADVISORY_START = "2001-07-02"
@@ -249,7 +250,7 @@ def case(pairs, otherwise):
 
 def raw_sheet(t: Tables) -> DataFrame:
     """Order lines as a messy order sheet: four imports, planted defects, exact repeats of every row with k % 11 = 0."""
-    line = t.read("lineitem")
+    line = spread_small(t.read("lineitem"))
     k = F.col("l_orderkey") * 7 + F.col("l_linenumber")
     copies = F.explode(F.sequence(F.lit(0), F.when(k % 11 == 0, 1).otherwise(0))).alias("copy")
     base = line.select("*", copies, k.alias("k"), F.col("l_shipdate").cast("date").alias("d"), F.floor(F.col("l_extendedprice") / 10).cast("bigint").alias("a"),

@@ -12,6 +12,7 @@ from bizlens.operators import order_metrics as om
 from bizlens.plans import bindings as bd
 from bizlens.plans.bindings import Tables
 from bizlens.plans.queries.facts import inputs as fact_inputs
+from bizlens.sources.tables import materialise
 
 TS = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
@@ -21,7 +22,7 @@ def sheet(s, d):
 
 
 def judged(s, d):
-    return im.run_import(sheet(s, d), "orders", bd.ORDER_MAPPING)
+    return im.run_import(sheet(s, d), "orders", bd.ORDER_MAPPING, stage=lambda rows: materialise(rows, "typed"))
 
 
 def clean(s, d):

@@ -9,6 +9,7 @@ from bizlens.functions.numbers import half_even
 from bizlens.operators import model as om
 from bizlens.plans import bindings as bd
 from bizlens.plans.bindings import Tables
+from bizlens.sources.tables import materialise
 
 ISOTONIC = ((0.0, 0.5, 1.0), (0.1, 0.4, 0.9))
 
@@ -60,7 +61,9 @@ def development(s, d, months=False):
         feats = feats.select("*", *[F.when(F.col("month") == m, 1.0).otherwise(0.0).alias(f"m_{m}") for m in range(2, 13)])
     dev = feats.where("not hold_out").withColumn("fold", om.block_of(F.col("idx"), F.floor(F.lit(0.8) * F.col("n_rows")), 4))
     stats = om.scaler(dev)
-    cells = om.with_vector(om.scaled(om.training_cells(dev, ["fold", *RAW, *(MONTHS if months else [])]), stats), RAW).coalesce(4).persist()
+    cells = om.with_vector(om.scaled(om.training_cells(dev, ["fold", *RAW, *(MONTHS if months else [])]), stats), RAW)
+    cells = materialise(cells.drop("features"), "cells").coalesce(2)  # a few thousand weighted cells at any input size
+    cells = om.with_vector(cells, RAW).persist()
     return cells, stats, cells.agg(F.sum("w")).first()[0], feats.where("hold_out")
 
 
