@@ -12,7 +12,7 @@ from bizlens.plans.queries.leads import LEARN_DAY
 
 
 def pseudo(c: str, prefix: str = "user") -> str:
-    return f"'{prefix}_' || substr(sha1('catalyst-ai-demo' || lower(trim({c}))), 1, 6)"
+    return f"'{prefix}_' || substr(sha1('bizlens' || lower(trim({c}))), 1, 6)"
 
 
 register("chat", (), """

@@ -86,8 +86,8 @@ def h11(s, d):
     return om.calibrator_scores(om.out_of_fold(cells, n, 1.0))
 
 
-def challengers(s, d):
-    cells, stats, n, test = development(s, d, months=True)
+def challengers(s, d, fitted=None):
+    cells, stats, n, test = fitted or development(s, d, months=True)
     test = om.scaled(test, stats).select("idx", "y", *RAW, *MONTHS)
     seen = om.with_vector(cells.drop("features"), RAW + MONTHS)
     trees = om.predict(om.fit_trees(cells), om.with_vector(test, RAW)).select("idx", "y", "p", F.lit("boosted_trees").alias("model"))
@@ -96,12 +96,12 @@ def challengers(s, d):
 
 
 def h15(s, d):
-    cells, stats, n, test = development(s, d)
+    fitted = cells, stats, n, test = development(s, d, months=True)
     test = om.scaled(test, stats).select("idx", "y", *RAW)
     lr = om.predict(om.fit_lr(cells, n, 1.0), om.with_vector(test, RAW)).select("idx", "y", "p", F.lit("logistic_regression").alias("model"))
     base = cells.agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("p"))  # one row
     const = test.select("idx", "y").crossJoin(F.broadcast(base)).select("idx", "y", "p", F.lit("constant_baseline").alias("model"))
-    rows = lr.unionByName(const).unionByName(challengers(s, d))
+    rows = materialise(lr.unionByName(const).unionByName(challengers(s, d, fitted)), "report-scores")
     return om.ranking_metrics(rows).join(om.calibration_metrics(rows), "model").crossJoin(F.broadcast(base.select(half_even(F.col("p"), 4).alias("development_rate"))))
 
 

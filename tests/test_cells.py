@@ -76,7 +76,7 @@ def test_redaction_and_chat_lines(spark):
     line = "Call +91 98765 43210 or 9876543210, mail a.b@x-y.co.in, ask @Riya.K and me@home not 198765432101"
     text = spark.createDataFrame([(line,)], "t string").select(tx.redact(F.col("t")).alias("r")).first().r
     import hashlib
-    alias = "@user_" + hashlib.sha1(("catalyst-ai-demo" + "riya.k").encode()).hexdigest()[:6]
+    alias = "@user_" + hashlib.sha1(("bizlens" + "riya.k").encode()).hexdigest()[:6]
     assert text == f"Call [phone] or [phone], mail [email], ask {alias} and me@home not 198765432101"
     rows = spark.createDataFrame([("@riya (dm): price?",), ("[04/10/26, 9:41 am] Riya S: hi",), ("hello",)], "l string").select(tx.chat_line(F.col("l"), F.lit("2026-01-01").cast("date")).alias("m")).collect()
     assert [(r.m and (r.m.channel, str(r.m.date), r.m.text)) for r in rows] == [("dm", "2026-01-01", "price?"), ("whatsapp", "2026-10-04", "hi"), None]
