@@ -64,14 +64,18 @@ class Tables:
             money(price * F.col("l_discount").cast("decimal(4,2)")).alias("discount"),
             money(price * (F.lit(40).cast("decimal(4,0)") + 2 * (F.col("l_partkey") % 10).cast("decimal(4,0)")) / 100).alias("cost"))
 
-    def orders(self) -> DataFrame:
-        """Order records: one row per order with its money totals."""
-        totals = self.items().groupBy("order_id").agg(
-            F.sum("qty").alias("qty"), money(F.sum("gross")).alias("gross"), money(F.sum("discount")).alias("discount"),
-            money(F.sum("cost")).alias("cost"))
+    def orders(self, with_money: bool = True) -> DataFrame:
+        """Order records: one row per order with its money totals (zero, and no join with the lines, where not wanted)."""
         base = self.order_business().where(F.col("status") != "P")
         zero = F.lit(0).cast("decimal(18,4)")
-        return base.join(totals, "order_id", "left").select(
+        if with_money:
+            totals = self.items().groupBy("order_id").agg(
+                F.sum("qty").alias("qty"), money(F.sum("gross")).alias("gross"), money(F.sum("discount")).alias("discount"),
+                money(F.sum("cost")).alias("cost"))
+            base = base.join(totals, "order_id", "left")
+        else:
+            base = base.select("*", F.lit(0).cast("bigint").alias("qty"), *[zero.alias(c) for c in ("gross", "discount", "cost")])
+        return base.select(
             "business_id", "order_id", "date", "buyer_ref",
             lookup(F.col("c_mktsegment"), RELATIONSHIP_BY_SEGMENT).alias("relationship"),
             F.col("priority").alias("channel"), "status",

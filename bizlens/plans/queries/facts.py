@@ -8,11 +8,14 @@ from bizlens.operators import facts as fx
 from bizlens.plans.bindings import LEAD_SHIFT_DAYS, Tables
 
 
-def inputs(spark, sf) -> fx.Inputs:
+MONEY_FACTS = {"f_unit_cost_full", "f_margin_per_order", "f_margin_pct", "f_discount_share"}
+
+
+def inputs(spark, sf, facts=fx.FACT_IDS) -> fx.Inputs:
     t = Tables(spark, sf)
     shift = [F.date_sub(c, LEAD_SHIFT_DAYS).alias(c) for c in ("created", "outcome_date")]
     leads = t.leads().select("business_id", "outcome", *shift)
-    return fx.Inputs(t.orders(), t.posts(), leads, t.turned_away(), t.stockouts(), t.profile(), t.snapshots())
+    return fx.Inputs(t.orders(bool(MONEY_FACTS & set(facts))), t.posts(), leads, t.turned_away(), t.stockouts(), t.profile(), t.snapshots())
 
 
 BRIEF = ["business_id", "week_no", "fact_id", "value", "numerator", "denominator", "sample_size", "sample_kind", "baseline", "gap_to_best"]
@@ -43,7 +46,7 @@ FACT_QUERIES = {
 
 
 def _brief(ids):
-    return lambda s, d: fx.fact_table(inputs(s, d), facts=ids).select(*BRIEF)
+    return lambda s, d: fx.fact_table(inputs(s, d, ids), facts=ids).select(*BRIEF)
 
 
 def _facts(s, d):
