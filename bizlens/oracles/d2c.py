@@ -59,7 +59,8 @@ register("dspec", (), "SELECT * FROM (VALUES " + ", ".join(str(s) for s in SPECS
 _at = lambda lab, c: f"max(CASE WHEN label = '{lab}' THEN {c} END)"
 register("dbase", ("label_value", "dspec"), f"""
     SELECT period_id, fact_id, kpi, dimension, unit, baseline_kind, {_at('current', 'value')} AS value, {_at('current', 'numerator')} AS numerator, {_at('current', 'denominator')} AS denominator,
-           CASE WHEN baseline_kind = 'weekly' THEN avg(CASE WHEN label LIKE 'w_' THEN value END) ELSE {_at('pooled', 'value')} END AS baseline
+           CASE WHEN baseline_kind = 'weekly' THEN ({' + '.join(f"coalesce({_at(f'w{k}', 'value')}, 0)" for k in range(4))}) / nullif(CAST(count(CASE WHEN label LIKE 'w_' THEN value END) AS DOUBLE), 0)
+                ELSE {_at('pooled', 'value')} END AS baseline
     FROM label_value JOIN dspec USING (fact_id) GROUP BY 1, 2, 3, 4, 5, 6""")
 register("dfact", ("dbase", "period"), f"""
     SELECT period_id, fact_id, kpi, dimension, CAST(lo AS VARCHAR) AS period_from, CAST(hi AS VARCHAR) AS period_to, v AS value, unit, b AS baseline,
