@@ -23,8 +23,8 @@ _IS_SYMBOL[[ord(c) for c in SYMBOLS]] = True
 class Settings:
     """`max_trusted` bounds the trusted rows that are read, whatever the corpus holds; the raw side reads every row."""
     bits: int = 16
-    smoothing: float = 1.0
-    threshold: float = -0.15
+    smoothing: float = 4.0
+    threshold: float = -0.1
     max_trusted: int = 30_000
     min_words: int = 20
     window: int = 8
@@ -64,7 +64,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col: st
 
     Raw counts come from every document. Trusted text is that of rows labelled `quality` 1: at most about `max_trusted`
     of them, drawn by a fixed hash of the id, so their ids may be broadcast. What reaches the driver has 2**bits rows.
-    Without trusted rows all ratios are 0.
+    Trusted counts are smoothed with `smoothing` raw counts per bucket on average. Without trusted rows all ratios are 0.
     """
     rows = (labels.where((F.col("quality") == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct()
             .withColumn("_order", F.xxhash64(F.lit(9), F.col("_id").cast("string")).bitwiseAND(F.lit((1 << 62) - 1))))
@@ -80,9 +80,9 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col: st
     raw[at], trusted[at] = counts.column("raw").to_numpy(), counts.column("trusted").to_numpy()
     if not trusted.sum():
         return np.zeros(1 << s.bits)
-    p = (trusted + s.smoothing) / (trusted.sum() + s.smoothing * len(trusted))
-    q = (raw + s.smoothing) / (raw.sum() + s.smoothing * len(raw))
-    return np.log(p / q)
+    q = raw / raw.sum()
+    p = (trusted + s.smoothing * len(raw) * q) / (trusted.sum() + s.smoothing * len(raw))
+    return np.log(np.where(raw > 0, p, 1) / np.where(raw > 0, q, 1))
 
 
 def repeated_words(words: np.ndarray, first: np.ndarray, window: int) -> np.ndarray:

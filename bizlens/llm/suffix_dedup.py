@@ -197,10 +197,10 @@ def repeats(left: list[bytes], right: list[bytes], agreed: int, s: Settings) ->
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     """Hash of the `gram` bytes from each position on (`gram` a power of two)."""
     h = data.astype(np.uint64) + np.uint64(1)
-    base, width = np.uint64(0x9E3779B97F4A7C15), 1
+    base, width = 0x9E3779B97F4A7C15, 1
     while width < gram:
-        h = h[:-width] * base + h[width:]
-        base, width = base * base, width * 2
+        h = h[:-width] * np.uint64(base) + h[width:]
+        base, width = base * base % 2**64, width * 2
     return mix(h)
 
 
