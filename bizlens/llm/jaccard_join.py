@@ -236,6 +236,38 @@ def sketch(items: np.ndarray) -> np.ndarray:
     return np.packbits(bit.astype(np.uint8)).view(np.uint64)
 
 
+def wide_sketch(items: np.ndarray) -> np.ndarray:
+    """A parity sketch with a bit or more per item, so that it tells large sets apart as well."""
+    cells = max(64 * SKETCH, 1 << int(len(items) - 1).bit_length())
+    bit = np.bincount((mix(items) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(bit.astype(np.uint8)).view(np.uint64)
+
+
+def least_distance(a: np.ndarray, b: np.ndarray) -> int:
+    """A lower bound of the Hamming distance from two wide sketches; the longer is folded to the other's size."""
+    while len(a) > len(b):
+        a = a[:len(a) // 2] ^ a[len(a) // 2:]
+    while len(b) > len(a):
+        b = b[:len(b) // 2] ^ b[len(b) // 2:]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        wide = [wide_sketch(np.frombuffer(x.as_py(), np.uint64)).tobytes() for x in b.column("items")]
+        yield pa.RecordBatch.from_arrays([b.column(c) for c in ("node", "n", "items")] + [pa.array(wide, pa.binary())], names=["node", "n", "items", "wide"])
+
+
+def _near(s: Settings):
+    """Pairs that their sizes and wide sketches do not rule out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            total = (100 - s.percent) * (b.column("n1").to_numpy() + b.column("n2").to_numpy())
+            far = np.array([least_distance(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(b.column("one"), b.column("two"))], np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(far * (100 + s.percent) <= total))
+    return run
+
+
 def _signed(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -246,8 +278,8 @@ def _signed(s: Settings):
                 part = b.slice(x, len(some))
                 pick = pa.array(np.repeat(np.arange(len(some)), n))
                 yield pa.RecordBatch.from_arrays(
-                    [as_long(np.concatenate(some)), part.column("node").take(pick), part.column("n").take(pick),
-                     pa.array([sketch(i).tobytes() for i in sets[x:x + 200]], pa.binary()).take(pick)], names=["sig", "node", "n", "sketch"])
+                    [as_long(np.concatenate(some)), *[part.column(c).take(pick) for c in ("node", "component", "n")],
+                     pa.array([sketch(i).tobytes() for i in sets[x:x + 200]], pa.binary()).take(pick)], names=["sig", "node", "component", "n", "sketch"])
     return run
 
 
@@ -311,10 +343,13 @@ def _linked(s: Settings):
 
 
 def verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """The pairs whose sets link."""
-    one = sets.select(F.col("node").alias("a"), F.col("items").alias("one"))
-    two = sets.select(F.col("node").alias("b"), F.col("items").alias("two"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(_linked(s), "a long, b long")
+    """The pairs whose sets link. Wide sketches, a 64th of the sets in size, go first; sets travel only for what is left."""
+    def beside(pairs, column, *more):
+        one = sets.select(F.col("node").alias("a"), F.col(column).alias("one"), *[F.col(c).alias(f"{c}1") for c in more])
+        two = sets.select(F.col("node").alias("b"), F.col(column).alias("two"), *[F.col(c).alias(f"{c}2") for c in more])
+        return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "one", "two", *[f"{c}{i}" for c in more for i in (1, 2)])
+    near = beside(pairs, "wide", "n").mapInArrow(_near(s), "a long, b long")
+    return beside(near, "items").mapInArrow(_linked(s), "a long, b long")
 
 
 def links(sets: DataFrame, s: Settings) -> DataFrame:
@@ -324,13 +359,17 @@ def links(sets: DataFrame, s: Settings) -> DataFrame:
     groups; then, wherever a group still spans several components, with its nearest partners in each, and last with
     all partners there that the sketches do not rule out. Two members of one component need no comparison.
     """
-    signed = written(sets.mapInArrow(_signed(s), "sig long, node long, n long, sketch binary"), "jaccard-signatures")
-    star = (signed.select("sig", "node").repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_leaders, "a long, b long")
+    def signed(found=None):
+        own = F.col("node").alias("component")
+        rows = sets.select("node", "n", "items", own) if found is None else (
+            sets.select("node", "n", "items").join(found, "node", "left").select("node", "n", "items", F.coalesce("component", "node").alias("component")))
+        return rows.mapInArrow(_signed(s), "sig long, node long, component long, n long, sketch binary")
+
+    star = (signed().select("sig", "node").repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_leaders, "a long, b long")
             .groupBy("b").agg(F.min("a").alias("a")))
     found = connected_components(verified(star, sets, s))
     for best in (True, False):
-        labelled = signed.join(found, "node", "left").select("sig", "node", "n", "sketch", F.coalesce("component", "node").alias("component"))
-        cross = labelled.repartition("sig").sortWithinPartitions("sig").mapInArrow(_across(s, best), "a long, b long, component long, far long")
+        cross = signed(found).repartition("sig").sortWithinPartitions("sig").mapInArrow(_across(s, best), "a long, b long, component long, far long")
         if best:
             pairs = cross.groupBy("a", "component").agg(F.min_by("b", F.struct("far", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         else:
@@ -358,7 +397,8 @@ def jaccard_join(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_i
     again = again.join(may.select(F.col("node").alias("doc_id"), "h1", "h2").distinct(), ["doc_id", "h1", "h2"], "left_semi")
     left = shared_enough(again, s)
     sets = written(again.join(left.select(F.col("node").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi").groupBy("doc_id", "h1", "h2")
-                   .agg(F.first("n").alias("n"), F.first("items").alias("items")).select(F.col("doc_id").alias("node"), "n", "items"), "jaccard-left")
+                   .agg(F.first("n").alias("n"), F.first("items").alias("items")).select(F.col("doc_id").alias("node"), "n", "items")
+                   .mapInArrow(_widened, "node long, n long, items binary, wide binary"), "jaccard-left")
     found = links(sets, s)
     nodes = first.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("_n"), F.first("n").alias("n"))
     nodes = nodes.where("_n > 1 or node is not null").join(found, "node", "left").select("h1", "h2", "n", F.coalesce("component", "node").alias("component"))
