@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from bizlens.llm.common import written
 from bizlens.llm.graph import connected_components
+from bizlens.session import scratch_path
 from bizlens.llm.textops import LOWER, as_long, buffers, grams, mix, row_slices, word_bounds, word_hashes
 
 BATCH_BYTES = 4 << 20
@@ -104,6 +105,8 @@ def _sets(s: Settings, low_bits: int, with_all: bool):
                 cols = [b.column("_id").slice(i, j - i), pa.array(np.diff(cut)), as_long(h1), as_long(h2), pa.array(size), pa.array(count), pa.array(open_, pa.binary()), pa.array(witness, pa.binary())]
                 names = ["doc_id", "n", "h1", "h2", "low", "shared", "open", "witness"]
                 if with_all:
+                    cols += [b.column(c).slice(i, j - i) for c in ("_h1", "_h2")]
+                    names += ["want1", "want2"]
                     cols.append(pa.array([h[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:])], pa.binary()))
                     names.append("items")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
@@ -298,35 +301,61 @@ def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(first[other]), pa.array(node[other])], names=["a", "b"])
 
 
-def _across(s: Settings, best: bool):
-    """Pairs of a signature group that lie in different components and whose sketches allow a link; with `best` only
-    each member's nearest partner in every other component."""
+def _across(s: Settings, small: int, most: int):
+    """Pairs of a signature group that lie in different components and whose sizes and sketches allow a link.
+
+    Of groups with more than `small` members only the `most` nearest partners of a member in a component are sent; a
+    row with `cut` says that there are more. `most` = 0 sends all.
+    """
+    def allowed(t, i, j):
+        node, comp, n, bits = t
+        far = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
+        return (far * (100 + s.percent) <= (100 - s.percent) * (n[i] + n[j])) & (np.minimum(n[i], n[j]) * 100 >= s.percent * np.maximum(n[i], n[j])), far
+
+    def batch(t, i, j, cut):
+        node, comp = t[0], t[1]
+        pairs = np.unique(np.stack([node[i], node[j], comp[i], comp[j], np.asarray(cut, np.int64)], 1), axis=0) if len(i) else np.zeros((0, 5), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in range(5)], names=["a", "b", "ca", "cb", "cut"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, edge in _sorted_groups(batches, "sig"):
-            node, comp, n = (t.column(c).to_numpy() for c in ("node", "component", "n"))
-            bits = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH)
-            for x, y in zip(edge[:-1], edge[1:]):
-                if y - x < 2 or (comp[x:y] == comp[x]).all():
-                    continue
-                for i in range(x, y, 256):
-                    e = min(i + 256, y)
-                    for j in range(x if best else i, y, 4096):
-                        f = min(j + 4096, y)
-                        far = np.bitwise_count(bits[i:e, None, :] ^ bits[None, j:f, :]).sum(2, dtype=np.int64)
-                        na, nb = n[i:e, None], n[None, j:f]
-                        ok = (comp[i:e, None] != comp[None, j:f]) & (far * (100 + s.percent) <= (100 - s.percent) * (na + nb))
-                        ok &= np.minimum(na, nb) * 100 >= s.percent * np.maximum(na, nb)
-                        if not best:
-                            ok &= np.arange(i, e)[:, None] < np.arange(j, f)[None, :]
-                        p, q = np.nonzero(ok)
-                        if best and len(p):
-                            order = np.lexsort([far[p, q], comp[j + q], p])
-                            p, q = p[order], q[order]
-                            keep = np.ones(len(p), bool)
-                            keep[1:] = (p[1:] != p[:-1]) | (comp[j + q[1:]] != comp[j + q[:-1]])
-                            p, q = p[keep], q[keep]
-                        if len(p):
-                            yield pa.RecordBatch.from_arrays([pa.array(node[i + p]), pa.array(node[j + q]), pa.array(comp[j + q]), pa.array(far[p, q])], names=["a", "b", "component", "far"])
+        for table, edge in _sorted_groups(batches, "sig"):
+            comp = table.column("component").to_numpy()
+            mixed = np.minimum.reduceat(comp, edge[:-1]) != np.maximum.reduceat(comp, edge[:-1])
+            if not mixed.any():
+                continue
+            size = np.diff(edge)
+            rows = np.flatnonzero(np.repeat(mixed, size))
+            table, size = table.take(pa.array(rows)), size[mixed]
+            sketch = table.column("sketch").combine_chunks()
+            bits = np.frombuffer(b"".join(sketch.to_pylist()), np.uint64).reshape(-1, SKETCH)
+            t = (*(table.column(c).to_numpy() for c in ("node", "component", "n")), bits)
+            first = np.concatenate([[0], np.cumsum(size)])
+            group = np.repeat(np.arange(len(size)), size)
+            few = np.repeat(size <= small, size)
+            for d in range(1, int(min(small, size.max()))):  # members d places apart, all small groups at once
+                i = np.flatnonzero(few[:-d] & (group[:-d] == group[d:]) & (t[1][:-d] != t[1][d:]))
+                ok, _ = allowed(t, i, i + d)
+                if ok.any():
+                    yield batch(t, i[ok], i[ok] + d, np.zeros(int(ok.sum())))
+            for g in np.flatnonzero(size > small):
+                x, y = int(first[g]), int(first[g + 1])
+                for i in range(x, y):
+                    j = np.arange(x, y) if most else np.arange(i + 1, y)
+                    j = j[t[1][j] != t[1][i]]
+                    ok, far = allowed(t, np.full(len(j), i), j)
+                    j, far = j[ok], far[ok]
+                    if not len(j):
+                        continue
+                    cut = np.zeros(len(j))
+                    if most:
+                        order = np.lexsort([far, t[1][j]])
+                        j = j[order]
+                        edge_j = _edges(t[1][j])
+                        place = np.arange(len(j)) - np.repeat(edge_j[:-1], np.diff(edge_j))
+                        keep = place < most
+                        cut = np.repeat(np.diff(edge_j) > most, np.diff(edge_j))[keep]
+                        j = j[keep]
+                    yield batch(t, np.full(len(j), i), j, cut)
     return run
 
 
@@ -356,8 +385,9 @@ def links(sets: DataFrame, s: Settings) -> DataFrame:
     """node, component for all nodes that link to a smaller one, directly or not.
 
     Every two sets that share a signature are settled: first each set is compared with the smallest member of its
-    groups; then, wherever a group still spans several components, with its nearest partners in each, and last with
-    all partners there that the sketches do not rule out. Two members of one component need no comparison.
+    groups; then, wherever a group still spans several components, with the partners there that the sketches do not
+    rule out: in large groups with the nearest ones first, and with all of them if that leaves components apart. Two
+    members of one component need no comparison.
     """
     def signed(found=None):
         own = F.col("node").alias("component")
@@ -368,18 +398,34 @@ def links(sets: DataFrame, s: Settings) -> DataFrame:
     star = (signed().select("sig", "node").repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_leaders, "a long, b long")
             .groupBy("b").agg(F.min("a").alias("a")))
     found = connected_components(verified(star, sets, s))
-    for best in (True, False):
-        cross = signed(found).repartition("sig").sortWithinPartitions("sig").mapInArrow(_across(s, best), "a long, b long, component long, far long")
-        if best:
-            pairs = cross.groupBy("a", "component").agg(F.min_by("b", F.struct("far", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        else:
-            pairs = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = written(verified(pairs, sets, s), "jaccard-links")
+    for most in (8, 0):
+        cross = (signed(found).repartition("sig").sortWithinPartitions("sig")
+                 .mapInArrow(_across(s, 64, most), "a long, b long, ca long, cb long, cut long")
+                 .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.first("ca").alias("ca"), F.first("cb").alias("cb"), F.max("cut").alias("cut")))
+        cross = written(cross, "jaccard-pairs")
+        more = written(verified(cross, sets, s), "jaccard-links")
         if not more.isEmpty():
             found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
+        # only pairs that were left out between components that are still apart call for the full round
+        open_ = cross.where("cut > 0").select("ca", "cb").distinct()
+        for c in ("ca", "cb"):
+            open_ = open_.join(found.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")), c, "left").withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
+        if open_.where("ca <> cb").isEmpty():
+            break
     return found
 
 
+def by_node(sets: DataFrame):
+    """The sets as a table bucketed by node in the shared folder, which joins by node read in place, and what drops its
+    name from the catalogue."""
+    spark = sets.sparkSession
+    path = scratch_path(spark, "llm-jaccard-left")
+    name = "jaccard_" + path.rsplit("-", 1)[-1]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sets.repartition(n, "node").write.bucketBy(n, "node").sortBy("node").option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name), lambda: spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def jaccard_join(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id that links reach) of every row.
 
@@ -392,14 +438,13 @@ def jaccard_join(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_i
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"))
     first = written(rows.mapInArrow(_sets(s, s.low_bits, False), SETS), "jaccard-sets")
     may = written(shared_enough(first, s), "jaccard-may")
-    texts = rows.join(may.select(F.col("node").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")), "_id").select("_id", "_text")
-    again = written(texts.mapInArrow(_sets(s, 0, True), f"{SETS}, items binary"), "jaccard-again")
-    again = again.join(may.select(F.col("node").alias("doc_id"), "h1", "h2").distinct(), ["doc_id", "h1", "h2"], "left_semi")
-    left = shared_enough(again, s)
-    sets = written(again.join(left.select(F.col("node").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi").groupBy("doc_id", "h1", "h2")
-                   .agg(F.first("n").alias("n"), F.first("items").alias("items")).select(F.col("doc_id").alias("node"), "n", "items")
-                   .mapInArrow(_widened, "node long, n long, items binary, wide binary"), "jaccard-left")
+    texts = rows.join(may.select(F.col("node").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")), "_id").select("_id", "_text", "_h1", "_h2")
+    again = written(texts.mapInArrow(_sets(s, 0, True), f"{SETS}, want1 long, want2 long, items binary").where("h1 = want1 and h2 = want2"), "jaccard-again")
+    left = shared_enough(again, s).select(F.col("node").alias("doc_id"), F.col("h1").alias("l1"), F.col("h2").alias("l2"))
+    sets, drop = by_node(again.join(left, "doc_id").where("h1 = l1 and h2 = l2").groupBy("doc_id", "h1", "h2").agg(F.first("n").alias("n"), F.first("items").alias("items"))
+                         .select(F.col("doc_id").alias("node"), "n", "items").mapInArrow(_widened, "node long, n long, items binary, wide binary"))
     found = links(sets, s)
+    drop()
     nodes = first.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("_n"), F.first("n").alias("n"))
     nodes = nodes.where("_n > 1 or node is not null").join(found, "node", "left").select("h1", "h2", "n", F.coalesce("component", "node").alias("component"))
     # joined on the size as well, so that both sides are dealt anew and a hot set can be split while it runs
