@@ -18,6 +18,7 @@ from bizlens.session import scratch_path
 from bizlens.llm.textops import LOWER, as_long, buffers, grams, mix, row_slices, word_bounds, word_hashes
 
 BATCH_BYTES = 4 << 20
+ID_BUCKETS = 1 << 20
 SKETCH = 8  # 64-bit words of a parity sketch
 
 
@@ -438,7 +439,10 @@ def jaccard_join(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_i
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"))
     first = written(rows.mapInArrow(_sets(s, s.low_bits, False), SETS), "jaccard-sets")
     may = written(shared_enough(first, s), "jaccard-may")
-    texts = rows.join(may.select(F.col("node").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")), "_id").select("_id", "_text", "_h1", "_h2")
+    # a bounded table of id buckets spares most texts the shuffle; the join that follows is exact
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_BUCKETS)).cast("int")
+    asked = may.select(bucket("node").alias("_k")).distinct()
+    texts = rows.withColumn("_k", bucket("_id")).join(F.broadcast(asked), "_k", "left_semi").drop("_k").join(may.select(F.col("node").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")), "_id").select("_id", "_text", "_h1", "_h2")
     again = written(texts.mapInArrow(_sets(s, 0, True), f"{SETS}, want1 long, want2 long, items binary").where("h1 = want1 and h2 = want2"), "jaccard-again")
     left = shared_enough(again, s).select(F.col("node").alias("doc_id"), F.col("h1").alias("l1"), F.col("h2").alias("l2"))
     sets, drop = by_node(again.join(left, "doc_id").where("h1 = l1 and h2 = l2").groupBy("doc_id", "h1", "h2").agg(F.first("n").alias("n"), F.first("items").alias("items"))

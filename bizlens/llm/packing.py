@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from bizlens.llm.common import text_or_empty, written
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 
 
 @dataclass(frozen=True)

@@ -167,7 +167,10 @@ def _keep(value, s: Settings, threshold: float):
         weights[np.frombuffer(at, np.int32)] = np.frombuffer(w, np.float32)
         for b in batches:
             data, off = buffers(b.column("_text_read"))
-            yield b.select([n for n in b.schema.names if n != "_text_read"]).filter(pa.array(score_arrays(data, off, weights, s.bits) < threshold))
+            rest = b.select([n for n in b.schema.names if n != "_text_read"])
+            for i, j in row_slices(off, 2 * BATCH_BYTES):
+                p = score_arrays(data[off[i]:off[j]], off[i:j + 1] - off[i], weights, s.bits)
+                yield rest.slice(i, j - i).filter(pa.array(p < threshold))
     return run
 
 

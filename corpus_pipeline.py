@@ -21,8 +21,15 @@ def keep_only(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.join(dropped.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
 
 
+def rows_at_a_time(spark: SparkSession, n: int) -> None:
+    """Rows in an Arrow batch from now on: few where whole texts go to Python workers and back, more where a stage
+    reduces each batch to something small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on all labels of documents at hand, does not call toxic."""
+    rows_at_a_time(spark, 1_000)
     settings = tox.Settings()
     sample = tox.sample_labels(table(spark, sf_dir, "labels"), F.lit(True), settings)
     train = docs.select("doc_id", F.col("text").alias("_text")).join(F.broadcast(sample), "doc_id").select("_order", "_label", "_text")
@@ -36,6 +43,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest id of every group of linked documents."""
+    rows_at_a_time(spark, 10_000)
     return keep_only(docs, jaccard_join.jaccard_join(docs).where("doc_id <> component_id"))
 
 
@@ -46,6 +54,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their place in a training sequence."""
+    rows_at_a_time(spark, 1_000)
     return packing.pack_documents(docs, tokenizer())
 
 
