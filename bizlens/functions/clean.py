@@ -69,7 +69,7 @@ def parse_date(text: Column) -> Column:
 def parse_money(text: Column) -> Column:
     """Amount without currency marks and thousands commas; null for blank, text or negative."""
     bare = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "(?i)(₹|rs\\.?|inr)", ""), ",", ""))
-    v = bare.try_cast("double")
+    v = F.when(bare.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), bare.try_cast("double"))
     return F.when((v >= 0) & ~F.isnan(v), v)
 
 

@@ -41,7 +41,7 @@ def redact(text: Column) -> Column:
 
 
 def chat_line(line: Column, default_day: Column) -> Column:
-    """Struct(handle_ref, channel, date, text) of a chat line in one of two layouts; null for any other line."""
+    """Struct(handle_ref, channel, date, redacted text) of a chat line in one of two layouts; null for any other line."""
     app, export = line.rlike(APP_LINE), line.rlike(EXPORT_LINE)
     raw = F.regexp_extract(line, EXPORT_LINE, 1)
     day = None
@@ -52,9 +52,9 @@ def chat_line(line: Column, default_day: Column) -> Column:
             parsed = F.when(F.year(parsed) >= 2069, F.add_months(parsed, -1200)).otherwise(parsed)
         day = F.when(raw.rlike(shape), parsed) if day is None else day.when(raw.rlike(shape), parsed)
     first = F.struct(F.concat(F.lit("@"), pseudonym(F.regexp_extract(line, APP_LINE, 1), "user")).alias("handle_ref"), F.lower(F.regexp_extract(line, APP_LINE, 2)).alias("channel"),
-                     default_day.alias("date"), F.trim(F.regexp_extract(line, APP_LINE, 3)).alias("text"))
+                     default_day.alias("date"), redact(F.trim(F.regexp_extract(line, APP_LINE, 3))).alias("text"))
     second = F.struct(F.concat(F.lit("@"), pseudonym(F.regexp_extract(line, EXPORT_LINE, 2), "user")).alias("handle_ref"), F.lit("whatsapp").alias("channel"),
-                      F.coalesce(day, default_day).alias("date"), F.trim(F.regexp_extract(line, EXPORT_LINE, 3)).alias("text"))
+                      F.coalesce(day, default_day).alias("date"), redact(F.trim(F.regexp_extract(line, EXPORT_LINE, 3))).alias("text"))
     return F.when(app, first).when(export, second)
 
 

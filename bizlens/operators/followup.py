@@ -76,7 +76,7 @@ def followups(reviewed: DataFrame, facts: DataFrame, verdicts: DataFrame) -> Dat
     b, p = F.col("bottleneck"), F.col("previous_bottleneck")
     words = lambda c: F.regexp_replace(c, "_", " ")
     first = (F.when(b.isNotNull() & ~b.eqNullSafe(p), F.concat(F.lit("The main bottleneck moved from "), words(F.coalesce(p, F.lit("none"))), F.lit(" to "), words(b), F.lit(": this week's actions switch to it.")))
-             .when(p.isNotNull() & b.isNull(), F.concat(F.initcap(F.substring_index(words(p), " ", 1)), F.substring(words(p), F.length(F.substring_index(words(p), " ", 1)) + 1, F.lit(99)),
+             .when(p.isNotNull() & b.isNull(), F.concat(F.initcap(F.substring_index(words(p), " ", 1)), F.substr(words(p), F.length(F.substring_index(words(p), " ", 1)) + 1),
                                                         F.lit(" is back at your best weeks and nothing else is clearly off: keep doing what works."))))
     return j.select(*KEYS, *[F.coalesce(c, F.lit("")).alias(c) for c in ("actions_done", "actions_skipped", "actions_open")], "previous_measure", "current_measure",
                     half_even(F.col("current_measure") - F.col("previous_measure"), 4).alias("change"), "previous_bottleneck", "bottleneck", (~b.eqNullSafe(p)).alias("changed"), first.alias("adjustment"))

@@ -25,14 +25,19 @@ register("chat", (), """
            ELSE '  @Riya.K (DM): ask @someone.else about cod  ' END AS line
     FROM conversations JOIN part ON p_partkey = conv_id % 200""")
 _APP, _EXP = tx.APP_LINE, tx.EXPORT_LINE
+_MAIL = r"[\w.+-]+@[\w-]+\.[\w.-]+"
+_PHONE = r"(^|[^0-9])(?:\+?91[\s-]?)?[6-9][0-9]{4}[\s-]?[0-9]{5}($|[^0-9])"
+_HANDLE = r"(^|[^\w.])@([A-Za-z0-9_.]{2,30})"
 register("message", ("chat",), f"""
+    SELECT business_id, msg_no, handle_ref, channel, date, CASE WHEN regexp_matches(t, '{_HANDLE}') THEN regexp_replace(t, '{_HANDLE}', '\\1@' || {pseudo(f"regexp_extract(t, '{_HANDLE}', 2)")}) ELSE t END AS text FROM (
+    SELECT *, regexp_replace(regexp_replace(raw, '{_MAIL}', '[email]', 'g'), '{_PHONE}', '\\1[phone]\\2', 'g') AS t FROM (
     SELECT business_id, msg_no, '@' || {pseudo(f"regexp_extract(line, '{_APP}', 1)")} AS handle_ref, lower(regexp_extract(line, '{_APP}', 2)) AS channel, default_day AS date,
-           trim(regexp_extract(line, '{_APP}', 3)) AS text FROM chat WHERE regexp_matches(line, '{_APP}')
+           trim(regexp_extract(line, '{_APP}', 3)) AS raw FROM chat WHERE regexp_matches(line, '{_APP}')
     UNION ALL
     SELECT business_id, msg_no, '@' || {pseudo(f"regexp_extract(line, '{_EXP}', 2)")}, 'whatsapp',
            coalesce(CAST(coalesce(try_strptime(regexp_extract(line, '{_EXP}', 1), '%d/%m/%y'), try_strptime(regexp_extract(line, '{_EXP}', 1), '%d/%m/%Y'),
                                   try_strptime(regexp_extract(line, '{_EXP}', 1), '%d-%m-%y'), try_strptime(regexp_extract(line, '{_EXP}', 1), '%d-%m-%Y')) AS DATE), default_day),
-           trim(regexp_extract(line, '{_EXP}', 3)) FROM chat WHERE NOT regexp_matches(line, '{_APP}') AND regexp_matches(line, '{_EXP}')""")
+           trim(regexp_extract(line, '{_EXP}', 3)) FROM chat WHERE NOT regexp_matches(line, '{_APP}') AND regexp_matches(line, '{_EXP}')))""")
 _m = lambda p: f"regexp_matches(text, '{p}')"
 _CITIES = sorted(tx.CITIES, key=len, reverse=True)
 register("read0", ("message", "product"), f"""

@@ -108,3 +108,15 @@ def test_mapping_suggestion_is_the_greedy_choice(spark):
             want[f] = (c, round(-s, 2))
             used.add(c)
     assert got == want
+
+
+def test_chat_text_is_redacted_in_both_layouts(spark):
+    lines = ["@riya (dm): call me 9876543210 mail a@b.com", "[04/10/26, 9:41 am] Riya: ask @some.one or +91 98765 43210"]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    got = [r[0] for r in df.select(tx.chat_line(F.col("line"), F.current_date())["text"]).collect()]
+    assert got[0] == "call me [phone] mail [email]" and got[1].endswith("or [phone]") and "some.one" not in got[1]
+
+
+def test_money_takes_plain_numbers_only(spark):
+    df = spark.createDataFrame([(x,) for x in ["12d", "5f", "0x10p1", "1e3", "12.", ".5", "NaN"]], "t string")
+    assert [r[0] for r in df.select(cl.parse_money(F.col("t"))).collect()] == [None, None, None, 1000.0, 12.0, 0.5, None]
