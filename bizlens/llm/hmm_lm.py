@@ -153,7 +153,7 @@ def _encode(lex: Lexicon):
                 rare, cut = rare[start], np.searchsorted(rare_row[start], np.arange(k + 1))
                 part = b.slice(i, k)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row_id + np.arange(k)), part.column("_id"), part.column("_train"), pa.array(n + 1), pa.array(base), pa.array(norm), pa.array(known),
+                    [pa.array(row_id + np.arange(k)), part.column("_id"), part.column("_train"), pa.array(n + 1), pa.array(base, pa.float64()), pa.array(norm.astype(np.float64)), pa.array(known),
                      pa.array([symbol[x:y].tobytes() for x, y in zip(first[:-1], first[1:])], pa.binary()),
                      pa.array([rare[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:])], pa.binary()), pa.array([times[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:])], pa.binary())],
                     names=["row", "doc_id", "train", "n_tokens", "base", "norm", "known", "symbols", "rare", "times"])
