@@ -43,7 +43,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest id of every group of linked documents."""
-    rows_at_a_time(spark, 10_000)
+    rows_at_a_time(spark, 3_000)
     return keep_only(docs, jaccard_join.jaccard_join(docs).where("doc_id <> component_id"))
 
 
