@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from bizlens.operators.imports import pseudonym
+from bizlens.operators.imports import pseudonym, short_alias
 
 # ---- fixed values
 EMAIL = r"(?U)[\w.+-]+@[\w-]+\.[\w.-]+"
@@ -36,7 +36,7 @@ def redact(text: Column) -> Column:
     """
     t = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), EMAIL, "[email]"), PHONE, "[phone]")
     pieces, handles = F.split(t, HANDLE, -1), F.regexp_extract_all(t, F.lit(HANDLE), F.lit(1))
-    joined = F.zip_with(pieces, handles, lambda p, h: F.concat(p, F.when(h.isNotNull(), F.concat(F.lit("@"), pseudonym(h, "user"))).otherwise("")))
+    joined = F.zip_with(pieces, handles, lambda p, h: F.concat(p, F.when(h.isNotNull(), F.concat(F.lit("@"), short_alias(h, "user"))).otherwise("")))
     return F.when(t.contains("@"), F.array_join(joined, "")).otherwise(t)
 
 

@@ -15,6 +15,8 @@ from bizlens.operators.skew import two_level_cumsum, two_level_rank
 
 NUMERIC = ("prior_contacts", "days_since_last_contact", "contacts_this_campaign")
 ROW_BLOCK = 10_000_000
+MAX_STEPS = 2000  # fixed value: far above what a fit needs to converge
+TREES = 200  # fixed value: rounds of the boosted challenger
 
 
 def feature_rows(rows: DataFrame) -> DataFrame:
@@ -126,7 +128,7 @@ def with_vector(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def fit_lr(cells: DataFrame, total: float, c: float):
     """L2 logistic regression whose penalty matches strength C on `total` rows."""
-    return LogisticRegression(labelCol="y", weightCol="w", maxIter=25, regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False).fit(cells)
+    return LogisticRegression(labelCol="y", weightCol="w", maxIter=MAX_STEPS, regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False).fit(cells)
 
 
 def predict(model, df: DataFrame) -> DataFrame:
@@ -136,9 +138,10 @@ def predict(model, df: DataFrame) -> DataFrame:
 
 def out_of_fold(cells: DataFrame, total: float, c: float, folds: int = 4) -> DataFrame:
     """Cells of each block predicted by a model that never saw the block."""
+    own = {r["fold"]: r["rows"] for r in cells.groupBy("fold").agg(F.sum("w").alias("rows")).collect()}  # one row a fold
     parts = None
     for f in range(folds):
-        fitted = fit_lr(cells.where(F.col("fold") != f), total * (folds - 1) / folds, c)
+        fitted = fit_lr(cells.where(F.col("fold") != f), total - own.get(f, 0.0), c)
         part = predict(fitted, cells.where(F.col("fold") == f))
         parts = part if parts is None else parts.unionByName(part)
     return parts.withColumn("model", F.lit(f"C={c}"))
@@ -151,7 +154,7 @@ def calibrator_scores(oof: DataFrame, folds: int = 4) -> DataFrame:
     rows = None
     for f in range(folds):
         train, test = data.where(F.col("fold") != f), data.where(F.col("fold") == f)
-        sig = predict(LogisticRegression(labelCol="y", weightCol="w", maxIter=25, regParam=0.0).fit(train), test.drop("p")).select("fold", "y", "w", "p", F.lit("sigmoid").alias("method"))
+        sig = predict(LogisticRegression(labelCol="y", weightCol="w", maxIter=MAX_STEPS, regParam=0.0).fit(train), test.drop("p")).select("fold", "y", "w", "p", F.lit("sigmoid").alias("method"))
         iso = IsotonicRegression(featuresCol="p", labelCol="y", weightCol="w", predictionCol="cal").fit(train).transform(test)
         part = sig.unionByName(iso.select("fold", "y", "w", F.col("cal").alias("p"), F.lit("isotonic").alias("method")))
         rows = part if rows is None else rows.unionByName(part)
@@ -161,4 +164,4 @@ def calibrator_scores(oof: DataFrame, folds: int = 4) -> DataFrame:
 
 
 def fit_trees(cells: DataFrame):
-    return GBTClassifier(labelCol="y", weightCol="w", maxIter=20, maxDepth=3, stepSize=0.05, seed=0).fit(cells)
+    return GBTClassifier(labelCol="y", weightCol="w", maxIter=TREES, maxDepth=3, stepSize=0.05, seed=0).fit(cells)

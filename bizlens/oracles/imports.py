@@ -133,7 +133,7 @@ register("cost_row", (), """
            10.0 AS courier, y + z + CASE WHEN i % 2 = 0 THEN 2.5 ELSE 0.0 END + 10.0 AS "full", 'estimate' AS source
     FROM (SELECT p_partkey % 50 AS i, min(p_size) AS z, max(p_size) AS y FROM part GROUP BY 1), (VALUES ('imp_orders_0'), ('imp_orders_1'), ('imp_orders_2'), ('imp_orders_3')) t(import_id)
     WHERE i % 9 <> 0""")
-_PSEUDO = "'buyer_' || substr(sha1('bizlens' || lower(trim({0}))), 1, 6)"
+_PSEUDO = "'buyer_' || sha1('bizlens' || lower(trim({0})))"
 _TS = "strftime({0}, '%Y-%m-%dT%H:%M:%SZ')"
 
 

@@ -12,7 +12,11 @@ from bizlens.plans.queries.leads import LEARN_DAY
 
 
 def pseudo(c: str, prefix: str = "user") -> str:
-    return f"'{prefix}_' || substr(sha1('bizlens' || lower(trim({c}))), 1, 6)"
+    return f"'{prefix}_' || sha1('bizlens' || lower(trim({c})))"
+
+
+def short(c: str, prefix: str = "user") -> str:
+    return f"substr({pseudo(c, prefix)}, 1, {len(prefix) + 7})"
 
 
 register("chat", (), """
@@ -23,13 +27,13 @@ register("chat", (), """
            WHEN 7 THEN '@mira_' || (conv_id % 40) || ' (whatsapp): my number is +91 98765 43210 call me' WHEN 8 THEN '@zed_' || (conv_id % 40) || ' (dm): mail me at zed@mail.com about custom ' || p_name
            WHEN 9 THEN '[31/31/26, 9:41 am] Odd Date: do you ship to Jaipur?' WHEN 10 THEN '@a_' || (conv_id % 40) || ' (story): love this ' || p_name || ' need it'
            ELSE '  @Riya.K (DM): ask @someone.else about cod  ' END AS line
-    FROM conversations JOIN part ON p_partkey = conv_id % 200""")
+    FROM conversations JOIN part ON p_partkey = conv_id % (SELECT count(*) FROM part)""")
 _APP, _EXP = tx.APP_LINE, tx.EXPORT_LINE
 _MAIL = r"[\w.+-]+@[\w-]+\.[\w.-]+"
 _PHONE = r"(^|[^0-9])(?:\+?91[\s-]?)?[6-9][0-9]{4}[\s-]?[0-9]{5}($|[^0-9])"
 _HANDLE = r"(^|[^\w.])@([A-Za-z0-9_.]{2,30})"
 register("message", ("chat",), f"""
-    SELECT business_id, msg_no, handle_ref, channel, date, CASE WHEN regexp_matches(t, '{_HANDLE}') THEN regexp_replace(t, '{_HANDLE}', '\\1@' || {pseudo(f"regexp_extract(t, '{_HANDLE}', 2)")}) ELSE t END AS text FROM (
+    SELECT business_id, msg_no, handle_ref, channel, date, CASE WHEN regexp_matches(t, '{_HANDLE}') THEN regexp_replace(t, '{_HANDLE}', '\\1@' || {short(f"regexp_extract(t, '{_HANDLE}', 2)")}) ELSE t END AS text FROM (
     SELECT *, regexp_replace(regexp_replace(raw, '{_MAIL}', '[email]', 'g'), '{_PHONE}', '\\1[phone]\\2', 'g') AS t FROM (
     SELECT business_id, msg_no, '@' || {pseudo(f"regexp_extract(line, '{_APP}', 1)")} AS handle_ref, lower(regexp_extract(line, '{_APP}', 2)) AS channel, default_day AS date,
            trim(regexp_extract(line, '{_APP}', 3)) AS raw FROM chat WHERE regexp_matches(line, '{_APP}')
@@ -94,7 +98,7 @@ register("bank_p", ("learned",), f"""
            CASE WHEN has_bought_before THEN greatest(0, as_of - last_signal) ELSE 999 END AS days_since_last_contact, 1 AS contacts_this_campaign FROM learned)""")
 
 ORACLES = {
-    "g02_pseudonym": f"SELECT c_custkey, {pseudo('c_name')} AS alias FROM customer",
+    "g02_pseudonym": f"SELECT c_custkey, {pseudo('c_name')} AS person_key, {short('c_name')} AS alias FROM customer",
     "g03_chat_lines": with_views("SELECT business_id, msg_no, handle_ref, channel, CAST(date AS VARCHAR) AS date, text FROM message", "message"),
     "g04_intents": with_views("SELECT msg_no, array_to_string(intents, ',') AS intents FROM read0", "read0"),
     "g05_details": with_views("SELECT msg_no, size, city, product, design FROM read", "read"),

@@ -12,7 +12,7 @@ ORACLES = {
                CAST(1 AS BIGINT) AS rows_dense FROM orders""",
     "a02_labelled_file": with_views("SELECT previous_outcome AS poutcome, CASE WHEN y = 1 THEN 'yes' ELSE 'no' END AS y, count(*) AS rows, CAST(sum(days_since_last_contact) AS BIGINT) AS pdays FROM contact GROUP BY 1, 2", "contact"),
     "a03_json_documents": with_views("SELECT name, CAST(window_start AS VARCHAR) AS window_start, CAST(window_end AS VARCHAR) AS window_end FROM event_window", "event_window"),
-    "a04_batch_identity": "SELECT doc_id, 'imp_orders_' || substr(sha1(text), 1, 8) AS import_id FROM documents",
+    "a04_batch_identity": "SELECT doc_id, 'imp_orders_' || sha1(text) AS import_id, 'imp_orders_' || substr(sha1(text), 1, 8) AS label FROM documents",
     "a05_partitioned_sink": with_views("""
         SELECT business_id, CAST(CAST(date_trunc('week', date) AS DATE) AS VARCHAR) AS week, count(*) * CASE WHEN business_id = 3 THEN 10 ELSE 1 END AS orders FROM biz_order GROUP BY 1, 2""", "biz_order"),
     "a06_attach_new": with_views("SELECT business_id, order_id, CASE WHEN status <> 'F' THEN 'held' ELSE 'new' END AS src FROM order_business", "order_business"),

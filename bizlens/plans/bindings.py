@@ -140,8 +140,8 @@ class Tables:
             ((k * 7) % 25).alias("avg_shares_per_post"), F.when(k % 6 == 0, 800).otherwise(0).cast("bigint").alias("cost_inr"))
 
     def partner_results(self) -> DataFrame:
-        """Stranger leads each past collaboration brought: one row per (supplier, order) parity class."""
-        return self.read("lineitem").where(F.col("l_suppkey") % 3 == 0).groupBy(
+        """Stranger leads each past collaboration brought: one row per supplier and year."""
+        return self.read("lineitem").groupBy(
             F.concat(F.lit("partner_"), F.col("l_suppkey").cast("string")).alias("partner_id"), F.year("l_shipdate").alias("collab")).agg(
             (F.count(F.lit(1)) % 9).alias("stranger_leads"))
 
@@ -318,8 +318,9 @@ def contact_history(t: Tables) -> DataFrame:
 
 def chat_lines(t: Tables) -> DataFrame:
     """Pasted chat lines: each conversation turn picks one of twelve line texts and fills in a product name."""
-    conv = t.read("conversations").select("conv_id", "turn", (F.col("conv_id") % 200).alias("pk"))
     part = t.read("part").select(F.col("p_partkey").alias("pk"), F.col("p_name").alias("p"))
+    parts = part.agg(F.count(F.lit(1)).alias("parts"))  # one row
+    conv = t.read("conversations").crossJoin(F.broadcast(parts)).select("conv_id", "turn", (F.col("conv_id") % F.col("parts")).alias("pk"))
     c = (F.col("conv_id") % 40).cast("string")
     p = F.col("p")
     lines = [F.concat(F.lit("@riya.k (dm): price of the "), p, F.lit(" in size L? deliver to Pune")), F.concat(F.lit("@fan_"), c, F.lit(" (comment): this one 🔥 obsessed")),

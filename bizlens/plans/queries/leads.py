@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from bizlens.functions import text as tx
 from bizlens.operators import leads as ld
 from bizlens.operators import order_metrics as om
-from bizlens.operators.imports import pseudonym
+from bizlens.operators.imports import pseudonym, short_alias
 from bizlens.plans import bindings as bd
 from bizlens.plans.bindings import Tables
 from bizlens.plans.queries.order_metrics import sessions
@@ -99,7 +99,7 @@ def g19(s, d):
 
 QUERIES = {
     "g01_redaction": g01,
-    "g02_pseudonym": lambda s, d: Tables(s, d).read("customer").select("c_custkey", pseudonym(F.col("c_name"), "user").alias("alias")),
+    "g02_pseudonym": lambda s, d: Tables(s, d).read("customer").select("c_custkey", pseudonym(F.col("c_name"), "user").alias("person_key"), short_alias(F.col("c_name"), "user").alias("alias")),
     "g03_chat_lines": lambda s, d: day(messages(s, d)),
     "g04_intents": lambda s, d: day(messages(s, d).select("msg_no", tx.intents(F.col("text")).alias("intents"))),
     "g05_details": lambda s, d: read(s, d).select("msg_no", "size", "city", "product", "design"),

@@ -62,7 +62,7 @@ def development(s, d, months=False):
     dev = feats.where("not hold_out").withColumn("fold", om.block_of(F.col("idx"), F.floor(F.lit(0.8) * F.col("n_rows")), 4))
     stats = om.scaler(dev)
     cells = om.with_vector(om.scaled(om.training_cells(dev, ["fold", *RAW, *(MONTHS if months else [])]), stats), RAW)
-    cells = materialise(cells.drop("features"), "cells").coalesce(2)  # a few thousand weighted cells at any input size
+    cells = materialise(cells.drop("features"), "cells")  # a few thousand weighted cells at any input size
     cells = om.with_vector(cells, RAW).persist()
     return cells, stats, cells.agg(F.sum("w")).first()[0], feats.where("hold_out")
 

@@ -65,6 +65,7 @@ def a06_costs(s, d):
 
 QUERIES = {
     "a01_delimited_scan": a01, "a02_labelled_file": a02, "a03_json_documents": a03,
-    "a04_batch_identity": lambda s, d: Tables(s, d).read("documents").select("doc_id", F.concat(F.lit("imp_orders_"), F.substring(F.sha1(F.col("text").cast("binary")), 1, 8)).alias("import_id")),
+    "a04_batch_identity": lambda s, d: Tables(s, d).read("documents").withColumn("content", F.col("text").cast("binary")).select(
+        "doc_id", sheets.batch_id(F.col("content"), "orders").alias("import_id"), sheets.batch_label(F.col("content"), "orders").alias("label")),
     "a05_partitioned_sink": a05, "a06_attach_new": a06, "a06_attach_costs": a06_costs,
 }

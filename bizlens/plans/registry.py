@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 AREAS = ("sources", "imports", "order_metrics", "d2c", "facts", "leads", "model", "calendar", "projection", "diagnosis",
          "actions", "outreach", "followup", "grounding", "streams")
+#: Run after all others: each trains 200 rounds of trees.
+SLOW = ("h12_challengers", "h15_model_report")
 
 
 def _modules(package: str):
@@ -24,6 +26,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict = {}
     for m in _modules("plans.queries"):
         out.update(m.QUERIES)
+    for name in SLOW:
+        out[name] = out.pop(name)
     return out
 
 

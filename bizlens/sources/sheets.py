@@ -2,25 +2,51 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _layouts(spark: SparkSession, paths, sep: str, encoding: str) -> list[tuple[list[str], DataFrame]]:
+    """The distinct header rows of the files, each with the table of files (`_file`) that have it. One row a layout
+    reaches the driver."""
+    lines = spark.read.text(paths).where("_metadata.file_block_start = 0 and trim(value) <> ''").select(
+        F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_row"), "value")
+    first = lines.groupBy("_file").agg(F.min_by("value", "_row").alias("_header"))
+    out = []
+    for row in first.select("_header").distinct().collect():
+        raw = row["_header"] if encoding == "UTF-8" else row["_header"].encode("utf-8", "replace").decode(encoding, "replace")
+        names = [n.lstrip("\ufeff").strip() for n in next(csv.reader([raw], delimiter=sep))]
+        out.append((names, first.where(F.col("_header") == row["_header"]).select("_file")))
+    return out
 
 
 def _read(spark: SparkSession, paths, sep: str, encoding: str) -> DataFrame:
-    raw = spark.read.csv(paths, sep=sep, header=True, inferSchema=False, encoding=encoding, quote='"', escape='"', mode="PERMISSIVE")
-    if not raw.columns:
+    """Cells by column name, whatever order a file has its columns in; a quoted cell may hold line breaks."""
+    out = None
+    layouts = _layouts(spark, paths, sep, encoding)
+    for names, files in layouts:
+        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+        raw = spark.read.schema(schema).csv(paths, sep=sep, header=True, encoding=encoding, quote='"', escape='"', mode="PERMISSIVE", multiLine=True)
+        cells = [F.coalesce(F.trim(F.col(f"c{i}")), F.lit("")).alias(n) for i, n in enumerate(names)]
+        part = raw.select(F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_row"), *cells)
+        if len(layouts) > 1:
+            part = part.join(files, "_file", "left_semi")
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
         raise ValueError("no header row found")
-    cells = [F.coalesce(F.trim(F.col(f"`{c}`")), F.lit("")).alias(c.lstrip("﻿").strip()) for c in raw.columns]
-    return raw.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"), *cells)
+    return out.fillna("", [c for c in out.columns if not c.startswith("_")]) if len(layouts) > 1 else out
 
 
 def read_sheet(spark: SparkSession, paths: str | Sequence[str], sep: str = ",", encoding: str = "auto") -> DataFrame:
     """All cells as trimmed text (blank = ''), with `import_id` (the file) and `source_row` (position in it, first data row = 2).
 
-    Under `auto`, a file that is not valid UTF-8 is read again as Latin-1. Rows of one block are read in order by one
-    task, so a row's position is its block's offset plus its place in the block; only block counts are aggregated.
+    Files are matched by column name; a column that a file lacks is blank there. Under `auto`, a file that is not valid
+    UTF-8 is read again as Latin-1. A quoted cell may span lines, so one task reads a whole file, in order, and a row's
+    position is its place after the file's first row.
     """
     sheet = _read(spark, paths, sep, "UTF-8" if encoding == "auto" else encoding)
     if encoding == "auto":
@@ -30,21 +56,26 @@ def read_sheet(spark: SparkSession, paths: str | Sequence[str], sep: str = ",",
             broken = broken | F.col(f"`{c}`").contains("�")
         bad = sheet.where(broken).select("_file").distinct()
         latin = _read(spark, paths, sep, "ISO-8859-1")
-        sheet = sheet.join(bad, "_file", "left_anti").unionByName(latin.join(bad, "_file", "left_semi"))
-    from pyspark.sql import Window
-
-    blocks = sheet.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
-    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    out = sheet.join(offsets, ["_file", "_block"])
+        sheet = sheet.join(bad, "_file", "left_anti").unionByName(latin.join(bad, "_file", "left_semi"), allowMissingColumns=True)
+    first = sheet.groupBy("_file").agg(F.min("_row").alias("_first"))
     keep = [c for c in sheet.columns if not c.startswith("_")]
-    return out.select(F.col("_file").alias("import_id"), (F.col("_off") + F.col("_row") - F.col("_first") + 2).alias("source_row"), *[F.col(f"`{c}`") for c in keep])
+    return sheet.join(first, "_file").select(F.col("_file").alias("import_id"), (F.col("_row") - F.col("_first") + 2).alias("source_row"), *[F.col(f"`{c}`") for c in keep])
 
 
 def batch_ids(spark: SparkSession, paths: str | Sequence[str], kind: str) -> DataFrame:
-    """Identity of each uploaded file from its content: `imp_<kind>_<first 8 hex of SHA-1>`."""
+    """Identity of each uploaded file from its content, with the short form that people see."""
     files = spark.read.format("binaryFile").load(paths)
-    return files.select("path", F.concat(F.lit(f"imp_{kind}_"), F.substring(F.sha1("content"), 1, 8)).alias("import_id"))
+    return files.select("path", batch_id(F.col("content"), kind).alias("import_id"), batch_label(F.col("content"), kind).alias("label"))
+
+
+def batch_id(content: Column, kind: str) -> Column:
+    """Key of an upload: kind and the whole SHA-1 of its bytes."""
+    return F.concat(F.lit(f"imp_{kind}_"), F.sha1(content))
+
+
+def batch_label(content: Column, kind: str) -> Column:
+    """The identity cut to 8 hex digits; never a key, as different files may share one."""
+    return F.substring(batch_id(content, kind), 1, len(f"imp_{kind}_") + 8)
 
 
 def read_documents(spark: SparkSession, paths, schema: str, explode: str | None = None) -> DataFrame:
