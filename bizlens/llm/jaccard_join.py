@@ -9,10 +9,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bizlens.llm.common import written
+from bizlens.llm.common import shuffles_freed, written, written_for_now
 from bizlens.llm.graph import connected_components
 from bizlens.session import scratch_path
 from bizlens.llm.textops import LOWER, as_long, buffers, grams, mix, row_slices, word_bounds, word_hashes
@@ -87,33 +88,62 @@ def _locally_shared(h: np.ndarray, cut: np.ndarray, ids: np.ndarray, low_bits: i
     return size, count, packed(open_s, open_r), packed(wit_s, wit_r)
 
 
-SETS = "doc_id long, n long, h1 long, h2 long, low long, shared long, open binary, witness binary"
+FOUND = "low long, shared long, open binary, witness binary"
+SETS = f"doc_id long, n long, h1 long, h2 long, {FOUND}"
+ITEMS = "doc_id long, n long, h1 long, h2 long, items binary"
 
 
-def _sets(s: Settings, low_bits: int, with_all: bool):
+def _found(h: np.ndarray, cut: np.ndarray, h1: np.ndarray, low_bits: int) -> list[pa.Array]:
+    size, count, open_, witness = _locally_shared(h, cut, h1, low_bits)
+    return [pa.array(size), pa.array(count), pa.array(open_, pa.binary()), pa.array(witness, pa.binary())]
+
+
+def _sliced(b: pa.RecordBatch, words: int):
+    """Slices of a batch (first and last row) with the sets in them."""
+    data, off = buffers(b.column("_text"))
+    for i, j in row_slices(off, 4 * BATCH_BYTES):
+        parts = []
+        for x, y in row_slices(off[i:j + 1], BATCH_BYTES):
+            x, y = x + i, y + i
+            parts.append(shingle_sets(data[off[x]:off[y]], off[x:y + 1] - off[x], words))
+        h = np.concatenate([p[0] for p in parts])
+        yield i, j, h, np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))])
+
+
+def _sets(s: Settings):
+    """Of every row the identity of its set and what the low part of the domain tells."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, off = buffers(b.column("_text"))
-            for i, j in row_slices(off, 4 * BATCH_BYTES):
-                parts = []
-                for x, y in row_slices(off[i:j + 1], BATCH_BYTES):
-                    x, y = x + i, y + i
-                    parts.append(shingle_sets(data[off[x]:off[y]], off[x:y + 1] - off[x], s.words))
-                h = np.concatenate([p[0] for p in parts])
-                cut = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))])
+            for i, j, h, cut in _sliced(b, s.words):
                 h1, h2 = _identity(h, cut)
-                size, count, open_, witness = _locally_shared(h, cut, h1, low_bits)
-                cols = [b.column("_id").slice(i, j - i), pa.array(np.diff(cut)), as_long(h1), as_long(h2), pa.array(size), pa.array(count), pa.array(open_, pa.binary()), pa.array(witness, pa.binary())]
-                names = ["doc_id", "n", "h1", "h2", "low", "shared", "open", "witness"]
-                if with_all:
-                    cols += [b.column(c).slice(i, j - i) for c in ("_h1", "_h2")]
-                    names += ["want1", "want2"]
-                    cols.append(pa.array([h[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:])], pa.binary()))
-                    names.append("items")
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                cols = [b.column("_id").slice(i, j - i), pa.array(np.diff(cut)), as_long(h1), as_long(h2), *_found(h, cut, h1, s.low_bits)]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "h1", "h2", "low", "shared", "open", "witness"])
+    return run
+
+
+def _items(s: Settings):
+    """The sets themselves, of the rows whose set is the one asked for."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, h, cut in _sliced(b, s.words):
+                h1, h2 = (as_long(x) for x in _identity(h, cut))
+                asked = pc.and_(pc.equal(h1, b.column("_h1").slice(i, j - i)), pc.equal(h2, b.column("_h2").slice(i, j - i)))
+                items = pa.array([h[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("_id").slice(i, j - i), pa.array(np.diff(cut)), h1, h2, items], names=["doc_id", "n", "h1", "h2", "items"]).filter(asked)
     return run
 
 
+def _resettled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Written sets with what the whole domain tells about them."""
+    for b in batches:
+        off = np.concatenate([[0], np.cumsum(pc.binary_length(b.column("items")).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        for i, j in row_slices(off, 4 * BATCH_BYTES):
+            part = b.slice(i, j - i)
+            h = np.frombuffer(b"".join(part.column("items").to_pylist()), np.uint64)
+            found = _found(h, (off[i:j + 1] - off[i]) // 8, part.column("h1").to_numpy(), 0)
+            yield pa.RecordBatch.from_arrays([part.column(c) for c in ("doc_id", "n", "h1", "h2")] + found, names=["doc_id", "n", "h1", "h2", "low", "shared", "open", "witness"])
+
+
 # ---- filter: a linked set shares at least `percent` of its shingles with other sets
 
 
@@ -416,17 +446,30 @@ def links(sets: DataFrame, s: Settings) -> DataFrame:
     return found
 
 
-def by_node(sets: DataFrame):
-    """The sets as a table bucketed by node in the shared folder, which joins by node read in place, and what drops its
-    name from the catalogue."""
+def by_node(sets: DataFrame, left: DataFrame):
+    """The sets that are left, as a table bucketed by node in the shared folder, which joins by node read in place, and
+    what drops its name from the catalogue. One shuffle serves the join, the grouping and the buckets."""
     spark = sets.sparkSession
     path = scratch_path(spark, "llm-jaccard-left")
     name = "jaccard_" + path.rsplit("-", 1)[-1]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sets.repartition(n, "node").write.bucketBy(n, "node").sortBy("node").option("path", path).format("parquet").saveAsTable(name)
+    keys = left.select(F.col("node").alias("doc_id"), F.col("h1").alias("l1"), F.col("h2").alias("l2"))
+    one = (sets.repartition(n, "doc_id").join(keys, "doc_id").where("h1 = l1 and h2 = l2").groupBy("doc_id", "h1", "h2")
+           .agg(F.first("n").alias("n"), F.first("items").alias("items")).select(F.col("doc_id").alias("node"), "n", "items"))
+    with shuffles_freed(spark):
+        (one.mapInArrow(_widened, "node long, n long, items binary, wide binary").write.bucketBy(n, "node").sortBy("node")
+         .option("path", path).format("parquet").saveAsTable(name))
     return spark.table(name), lambda: spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
+def in_buckets_of(rows: DataFrame, id_col: str, nodes: DataFrame) -> DataFrame:
+    """The rows whose id falls in a bucket of some node: a bounded table that spares most rows a shuffle. An exact join
+    has to follow."""
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_BUCKETS)).cast("int")
+    asked = nodes.select(bucket("node").alias("_k")).distinct()
+    return rows.withColumn("_k", bucket(id_col)).join(F.broadcast(asked), "_k", "left_semi").drop("_k")
+
+
 def jaccard_join(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id that links reach) of every row.
 
@@ -437,16 +480,14 @@ def jaccard_join(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_i
     takes the component of the equal sets that have ids, and stays null without one. Extra columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"))
-    first = written(rows.mapInArrow(_sets(s, s.low_bits, False), SETS), "jaccard-sets")
+    first = written(rows.mapInArrow(_sets(s), SETS), "jaccard-sets")
     may = written(shared_enough(first, s), "jaccard-may")
-    # a bounded table of id buckets spares most texts the shuffle; the join that follows is exact
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_BUCKETS)).cast("int")
-    asked = may.select(bucket("node").alias("_k")).distinct()
-    texts = rows.withColumn("_k", bucket("_id")).join(F.broadcast(asked), "_k", "left_semi").drop("_k").join(may.select(F.col("node").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")), "_id").select("_id", "_text", "_h1", "_h2")
-    again = written(texts.mapInArrow(_sets(s, 0, True), f"{SETS}, want1 long, want2 long, items binary").where("h1 = want1 and h2 = want2"), "jaccard-again")
-    left = shared_enough(again, s).select(F.col("node").alias("doc_id"), F.col("h1").alias("l1"), F.col("h2").alias("l2"))
-    sets, drop = by_node(again.join(left, "doc_id").where("h1 = l1 and h2 = l2").groupBy("doc_id", "h1", "h2").agg(F.first("n").alias("n"), F.first("items").alias("items"))
-                         .select(F.col("doc_id").alias("node"), "n", "items").mapInArrow(_widened, "node long, n long, items binary, wide binary"))
+    asked = may.select(F.col("node").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"))
+    texts = in_buckets_of(rows, "_id", may).join(asked, "_id").select("_id", "_text", "_h1", "_h2")
+    again, drop_again = written_for_now(texts.mapInArrow(_items(s), ITEMS), "jaccard-again")
+    left = written(shared_enough(again.mapInArrow(_resettled, SETS), s), "jaccard-left-ids")
+    sets, drop = by_node(in_buckets_of(again, "doc_id", left), left)
+    drop_again()
     found = links(sets, s)
     drop()
     nodes = first.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("_n"), F.first("n").alias("n"))
