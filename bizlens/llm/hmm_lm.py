@@ -21,13 +21,11 @@ BLOCK = 2048  # symbols in one row of summed counts
 @dataclass(frozen=True)
 class Settings:
     """`top`: words with an emission of their own; all others are emitted through one of 256 classes by their last two
-    bytes and then by their count in the class. `warm_rows` bounds the texts of the starting point; every Baum-Welch
-    iteration after it, and every count, reads all training texts."""
+    bytes and then by their count in the class. Every Baum-Welch iteration and every count reads all training texts;
+    iterations go on until the summed log likelihood gains less than `tolerance` of itself."""
     states: int = 8
     top: int = 60_000
-    warm_rows: int = 1_500
-    warm_iterations: int = 12
-    iterations: int = 2
+    tolerance: float = 1e-4
     cells: int = 1 << 20
     width: int = 512
     pull: float = 40.0
@@ -305,31 +303,18 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["block", "counts"])
 
 
-def baum_welch(training: DataFrame, model: Model, unigram: np.ndarray, s: Settings) -> Model:
-    """One iteration over all training texts. Each task sends its counts in blocks of symbols; the blocks are summed in
-    parallel, and the driver gets one model's worth of them."""
+def baum_welch(training: DataFrame, model: Model, unigram: np.ndarray, s: Settings) -> tuple[Model, float]:
+    """One iteration over all training texts, and their log likelihood under the model it starts from. Each task sends
+    its counts in blocks of symbols; the blocks are summed in parallel, and the driver gets one model's worth of them."""
     raw = _pack((model.start, model.move, model.emit))
     parts = -(-len(unigram) // BLOCK) + 1
     rows = training.select("symbols").mapInArrow(_expect(raw, len(unigram), s), "block int, counts binary")
     got = {r["block"]: np.frombuffer(r["counts"], np.float64) for r in rows.repartition(parts, "block").mapInArrow(_sum, "block int, counts binary").collect()}
     if not got:
-        return model
+        return model, 0.0
     k, head = s.states, got.pop(-1)
     emit = np.concatenate([got[i] for i in sorted(got)]).reshape(-1, k)
-    return maximise(head[:k], head[k:k + k * k].reshape(k, k), emit, unigram, s)
-
-
-def _warm(raw: bytes, unigram: bytes, s: Settings):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u = np.frombuffer(unigram, np.float64)
-        texts = [x for b in batches for x in _symbols(b)]
-        if texts:
-            model = _unpack(raw, len(u), s.states, np.float64)
-            for _ in range(s.warm_iterations):
-                start, move, emit, _ll = expect(model, texts, len(u) - 1, s)
-                model = maximise(start, move, emit, u, s)
-            yield pa.RecordBatch.from_arrays([pa.array([_pack((model.start, model.move, model.emit))], pa.binary())], names=["model"])
-    return run
+    return maximise(head[:k], head[k:k + k * k].reshape(k, k), emit, unigram, s), float(head[-1])
 
 
 def train(encoded: DataFrame, lex: Lexicon, s: Settings) -> tuple[Model, np.ndarray]:
@@ -340,15 +325,12 @@ def train(encoded: DataFrame, lex: Lexicon, s: Settings) -> tuple[Model, np.ndar
     u /= u.sum()
     model = first_model(u, s)
     training = encoded.where("train")
-    share = min(1.0, s.warm_rows / max(lex.n_docs, 1))
-    sample = (training.where(F.xxhash64(F.lit(s.seed), F.col("doc_id").cast("string")).bitwiseAND(F.lit((1 << 62) - 1)) < F.lit(int(share * (1 << 62))))
-              .select("symbols").limit(2 * s.warm_rows))
-    got = sample.repartition(1).mapInArrow(_warm(_pack((model.start, model.move, model.emit)), u.tobytes(), s), "model binary").collect()
-    if got:
-        model = _unpack(got[0]["model"], lex.symbols, s.states, np.float64)
-    for _ in range(s.iterations):
-        model = baum_welch(training, model, u, s)
-    return model, u
+    before = -np.inf
+    while True:
+        model, now = baum_welch(training, model, u, s)
+        if now - before <= s.tolerance * -now:
+            return model, u
+        before = now
 
 
 def _score(raw: bytes, symbols: int, s: Settings):

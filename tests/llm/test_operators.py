@@ -154,6 +154,18 @@ def test_hmm_base_scores_and_likelihood(spark, sf):
     assert 0 < total < 1
 
 
+def test_hmm_trains_on_all_texts_until_converged(spark, sf):
+    docs, s = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), hmm_lm.Settings(top=5000)
+    counts = hmm_lm.word_counts(docs, F.lit(True))
+    lex = hmm_lm.lexicon(counts, docs.count(), s)
+    encoded = hmm_lm.encode(docs, F.lit(True), lex, "doc_id", "text")
+    model, u = hmm_lm.train(encoded, lex, s)
+    texts = [np.frombuffer(r["symbols"], np.uint16) for r in encoded.select("symbols").collect()]
+    start, move, emit, now = hmm_lm.expect(model, texts, lex.end, s)
+    after = hmm_lm.expect(hmm_lm.maximise(start, move, emit, u, s), texts, lex.end, s)[3]
+    assert after - now < 1.5e-4 * -now
+
+
 def test_mixing(spark):
     rnd = random.Random(4)
     docs = documents(spark, [(i, "w " * rnd.randint(1, 40)) for i in range(600)] + [(700, None)]).withColumn(
