@@ -7,11 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bizlens.llm.common import written
+from bizlens.llm.common import shuffles_freed, written
 from bizlens.llm.textops import LOWER, as_long, buffers, row_slices, word_bounds, word_hashes
 
 BATCH_BYTES = 1 << 20
@@ -278,9 +278,9 @@ def _unpack(raw: bytes, symbols: int, k: int, dtype) -> Model:
     return Model(v[:k].astype(dtype), v[k:k + k * k].reshape(k, k).astype(dtype), v[k + k * k:].reshape(symbols, k).astype(dtype))
 
 
-def _expect(raw: bytes, symbols: int, s: Settings):
+def _expect(raw: Broadcast, symbols: int, s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _unpack(raw, symbols, s.states, np.float32)
+        model = _unpack(raw.value, symbols, s.states, np.float32)
         total = None
         for b in batches:
             got = expect(model, _symbols(b), symbols - 1, s)
@@ -305,11 +305,16 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def baum_welch(training: DataFrame, model: Model, unigram: np.ndarray, s: Settings) -> tuple[Model, float]:
     """One iteration over all training texts, and their log likelihood under the model it starts from. Each task sends
-    its counts in blocks of symbols; the blocks are summed in parallel, and the driver gets one model's worth of them."""
-    raw = _pack((model.start, model.move, model.emit))
+    its counts in blocks of symbols; the blocks are summed in parallel, and the driver gets one model's worth of them.
+    What an iteration leaves on disk goes with it."""
+    spark = training.sparkSession
+    raw = spark.sparkContext.broadcast(_pack((model.start, model.move, model.emit)))
     parts = -(-len(unigram) // BLOCK) + 1
-    rows = training.select("symbols").mapInArrow(_expect(raw, len(unigram), s), "block int, counts binary")
-    got = {r["block"]: np.frombuffer(r["counts"], np.float64) for r in rows.repartition(parts, "block").mapInArrow(_sum, "block int, counts binary").collect()}
+    with shuffles_freed(spark):
+        rows = training.select("symbols").mapInArrow(_expect(raw, len(unigram), s), "block int, counts binary")
+        sums = rows.repartition(parts, "block").mapInArrow(_sum, "block int, counts binary").collect()
+    raw.destroy()
+    got = {r["block"]: np.frombuffer(r["counts"], np.float64) for r in sums}
     if not got:
         return model, 0.0
     k, head = s.states, got.pop(-1)
