@@ -21,6 +21,7 @@ from bizlens.session import scratch_path
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
 END = b"\r\n\r\n"
+CUT = "gzip member cut off"
 
 
 @dataclass(frozen=True)
@@ -69,59 +70,112 @@ def _parse(raw, at: int) -> tuple[dict, bytes, int]:
     return headers, block, end + len(END)
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    """Content and end of the gzip member at `at`."""
+def _member(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """Content and end of the gzip member at `at`; of a damaged one what comes before the damage, how far that was read,
+    and what failed."""
     d, out, pos = zlib.decompressobj(31), [], at
     try:
         while not d.eof and pos < len(data):
             out.append(d.decompress(data[pos:pos + 65536]))
             pos += 65536
     except zlib.error:
-        raise ValueError("bad gzip member") from None
+        return *_before_damage(data, at), "bad gzip member"
     if not d.eof:
-        raise ValueError("gzip member cut off")
-    return b"".join(out), min(pos, len(data)) - len(d.unused_data)
+        return b"".join(out), len(data), CUT
+    return b"".join(out), min(pos, len(data)) - len(d.unused_data), ""
 
 
-def _read_at(data: bytes, at: int) -> tuple[list[tuple[dict, bytes]], int]:
-    """Records of the member or the plain record at `at`, and where it ends."""
+def _before_damage(data: bytes, at: int) -> tuple[bytes, int]:
+    """What a member that does not decompress gives up to the byte that fails; the slice with that byte is read bytewise."""
+    d, out, pos, step = zlib.decompressobj(31), [], at, 65536
+    while True:
+        kept = d.copy() if step > 1 else None
+        try:
+            out.append(d.decompress(data[pos:pos + step]))
+            pos += step
+        except zlib.error:
+            if kept is None:
+                return b"".join(out), pos
+            d, step = kept, 1
+
+
+def _inside(raw: bytes) -> Iterator[tuple[str, int, int, str, dict, bytes]]:
+    """As `salvage`, for the content of a member, where only version lines start a record."""
+    pos, start, reason = 0, None, ""
+    while 0 <= pos < len(raw):
+        try:
+            headers, block, end = _parse(raw, pos)
+        except ValueError as e:
+            if start is None:
+                start, reason = pos, str(e)
+            pos = raw.find(VERSION, pos + 1)
+            continue
+        if start is not None:
+            yield "gap", start, pos - start, reason, {}, b""
+            start = None
+        yield "record", pos, end - pos, "", headers, block
+        pos = end
+    if start is not None:
+        yield "gap", start, len(raw) - start, reason, {}, b""
+
+
+def _read_at(data: bytes, at: int) -> tuple[list[tuple], int, str]:
+    """Rows of the member or the plain record at `at`, where it ends, and what damaged it. ValueError if it has content
+    and no record in it passes. A damaged member gives only records whose digest was compared, and a cut one not the
+    record at the cut."""
     if data[at:at + 3] != MAGIC:
         headers, block, end = _parse(data, at)
-        return [(headers, block)], end
-    raw, end = _member(data, at)
-    found, pos = [], 0
-    while pos < len(raw):
-        headers, block, pos = _parse(raw, pos)
-        found.append((headers, block))
-    return found, end
+        return [("record", at, end - at, "", headers, block)], end, ""
+    raw, end, damage = _member(data, at)
+    rows = []
+    for kind, x, n, reason, h, block in _inside(raw):
+        if kind == "record" and damage and not h.get("warc-block-digest", "").startswith("sha256:"):
+            kind, reason = "gap", "no digest in a damaged member"
+        elif kind == "record" and damage == CUT and x + n == len(raw):
+            kind, reason = "gap", damage
+        rows.append((kind, at, end - at, "", h, block) if kind == "record" else (kind, at + x, n, reason, {}, b""))
+    if (raw or damage) and not any(r[0] == "record" for r in rows):
+        raise ValueError(damage or rows[0][3])
+    return rows, end, damage
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, str, dict, bytes]]:
     """("record", offset, length, "", headers, block) and ("gap", offset, length, reason, {}, b"") in file order.
 
     Where a check fails, the next member or version line that passes all checks is searched for, and the bytes up to it
-    are one gap, named after the first failed check.
+    are one gap, named after the first failed check. In a member the search goes on inside its content: a gap there has
+    the member's offset plus the inner one and its length in the content. Records of a damaged member come before the
+    gap that runs from the member's start to what is found next.
     """
-    pos = 0
+    pos, start, reason = 0, None, ""
+    taken, reach = [], 0  # records of the last damaged member, and how far its bytes were read
     while pos < len(data):
         try:
-            found, end = _read_at(data, pos)
+            rows, end, damage = _read_at(data, pos)
         except ValueError as e:
-            reason, start, found = str(e), pos, None
-            while found is None:
-                at = [x for x in (data.find(MAGIC, pos + 1), data.find(VERSION, pos + 1)) if x >= 0]
-                if not at:
-                    yield "gap", start, len(data) - start, reason, {}, b""
-                    return
-                pos = min(at)
-                try:
-                    found, end = _read_at(data, pos)
-                except ValueError:
-                    continue
+            if start is None:
+                start, reason = pos, str(e)
+            pos = _next(data, pos + 1)
+            continue
+        if pos < reach and data[pos:pos + 3] != MAGIC and rows[0][4:] in taken:  # the member holds it uncompressed
+            pos = _next(data, end)
+            continue
+        if start is not None:
             yield "gap", start, pos - start, reason, {}, b""
-        for headers, block in found:
-            yield "record", pos, end - pos, "", headers, block
-        pos = end
+            start = None
+        yield from rows
+        if damage:
+            start, reason, taken, reach = pos, damage, [r[4:] for r in rows if r[0] == "record"], end
+            pos = _next(data, pos + 1)
+        else:
+            pos = end
+    if start is not None:
+        yield "gap", start, len(data) - start, reason, {}, b""
+
+
+def _next(data: bytes, at: int) -> int:
+    """Where the next member or version line may start; the end if there is none."""
+    return min([x for x in (data.find(MAGIC, at), data.find(VERSION, at)) if x >= 0], default=len(data))
 
 
 # ---- Spark jobs

@@ -51,6 +51,24 @@ def test_warc_salvage():
     assert gaps[0] == (len(members[0] + members[1]), len(broken))
 
 
+def test_warc_salvage_inside_members():
+    import gzip
+    made = [warc.record([("WARC-Type", "response"), ("Page-ID", str(i))], random.Random(i).randbytes(3000)) for i in range(5)]
+    bad = made[1].replace(b"sha256:", b"sha256:0", 1)
+    for level in (0, 6):
+        one = gzip.compress(made[0] + bad + made[2], level)
+        got = list(warc.salvage(made[4] + one))
+        assert [r[4]["page-id"] for r in got if r[0] == "record"] == ["4", "0", "2"]
+        assert [r[:4] for r in got if r[0] == "gap"] == [("gap", len(made[4]) + len(made[0]), len(bad), "block digest differs")]
+        whole = gzip.compress(b"".join(made[:3]), level)
+        crc = bytearray(whole)
+        crc[-6] ^= 0xFF
+        for data, want in ((bytes(crc), ["0", "1", "2"]), (whole[:-2000], ["0", "1"]), (whole[:7000] + b"\xff" * 50 + whole[7050:], ["0", "1"])):
+            got = list(warc.salvage(data + gzip.compress(made[3])))
+            ids = [r[4]["page-id"] for r in got if r[0] == "record"]
+            assert ids == [*want, "3"] and ("gap", 0, len(data)) in [r[:3] for r in got]
+
+
 def test_warc_round_trip_odd_rows(spark):
     long = "x" * 120
     pages = spark.createDataFrame([(3, "http://a\nb", long), (1, None, long), (2, "u", None), (5, "u", "short"), (4, "u", "short"), (None, "u", long)], "page_id long, url string, html string")
