@@ -182,6 +182,7 @@ def _next(data: bytes, at: int) -> int:
 
 
 def _open(path: str):
+    """Store and folder of a path. Its streams need compression=None, as they would go by the ending .gz themselves."""
     return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
 
 
@@ -233,7 +234,7 @@ def _writer(folder: str, s: Settings):
                 raw = z.compress(record(headers, block)) + z.flush()
                 if sink is None:
                     name = f"part-{ctx.partitionId():06d}-{len(done):04d}-{ctx.taskAttemptId()}.warc.gz"
-                    sink = system.open_output_stream(f"{base}/{name}")
+                    sink = system.open_output_stream(f"{base}/{name}", compression=None)
                 sink.write(raw)
                 size, count = size + len(raw), count + 1
                 if size >= s.file_bytes:
@@ -291,16 +292,30 @@ def _batches(rows: Iterator[tuple], with_block: bool) -> Iterator[pa.RecordBatch
         yield batch()
 
 
-def read_written(manifest: DataFrame, folder: str, with_block: bool = True) -> DataFrame:
-    """Records and gaps of the archives in a manifest; each task reads whole archives of a bounded size."""
+def _complete(name: str, records: int, rows: Iterator[tuple]) -> Iterator[tuple]:
+    """The rows of an archive; ValueError at a gap, or at the end where their number is not the manifest's."""
+    n = 0
+    for r in rows:
+        if r[0] == "gap":
+            raise ValueError(f"{name}: {r[4]} at {r[2]}")
+        n += 1
+        yield r
+    if n != records:
+        raise ValueError(f"{name}: {n} records read, {records} written")
+
+
+def read_written(manifest: DataFrame, folder: str, with_block: bool = True, complete: bool = False) -> DataFrame:
+    """Records and gaps of the archives in a manifest; each task reads whole archives of a bounded size. With `complete`
+    a gap, or another number of records than the manifest has, fails the query."""
     def run(batches):
         system, base = _open(folder)
         for b in batches:
-            for name in b.column("name").to_pylist():
-                with system.open_input_stream(f"{base}/{name}") as f:
-                    yield from _batches(_rows(name, f.read()), with_block)
+            for name, records in zip(b.column("name").to_pylist(), b.column("records").to_pylist()):
+                with system.open_input_stream(f"{base}/{name}", compression=None) as f:
+                    rows = _rows(name, f.read())
+                yield from _batches(_complete(name, records, rows) if complete else rows, with_block)
     n = max(1, manifest.count())
-    return manifest.select("name").repartition(min(n, 1 << 16), "name").mapInArrow(run, RECORDS)
+    return manifest.select("name", "records").repartition(min(n, 1 << 16), "name").mapInArrow(run, RECORDS)
 
 
 def read_archives(spark: SparkSession, path: str, with_block: bool = True) -> DataFrame:
@@ -317,11 +332,11 @@ def round_trip(pages: DataFrame, s: Settings = Settings(), id_col: str = "page_i
     record_type and refers_to as the archives have them.
 
     Null payloads are empty; null ids come back null. Rows that repeat an id give a record each. Extra columns are
-    ignored; an empty table gives an empty result.
+    ignored; an empty table gives an empty result. An archive that is damaged or short when it is read fails the query.
     """
     kind = pages.schema[id_col].dataType
     folder = scratch_path(pages.sparkSession, "llm-warc")
     manifest = write_archives(digests(pages, s, id_col, url_col, html_col), folder, s)
-    got = read_written(manifest, folder, with_block=False)
-    return got.where("kind = 'record'").select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+    got = read_written(manifest, folder, with_block=False, complete=True)
+    return got.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
                                                F.col("refers_to").cast(kind).alias("refers_to"))

@@ -76,6 +76,30 @@ def test_warc_round_trip_odd_rows(spark):
     assert got == [("1", 120, "response", None), ("2", 0, "response", None), ("3", 120, "revisit", 1), ("4", 5, "response", None), ("5", 5, "response", None), ("None", 120, "revisit", 1)]
 
 
+def test_warc_round_trip_fails_on_lost_records(spark, monkeypatch):
+    import gzip
+    made = [gzip.compress(warc.record([("WARC-Type", "response"), ("Page-ID", str(i))], b"body")) for i in range(2)]
+    pages, real = spark.createDataFrame([(1, "u", "a"), (2, "u", "b")], "page_id long, url string, html string").coalesce(1), warc.write_archives
+    for content in (made[0], made[0] + made[1][:20], b""):
+        def damaged(rows_, folder, s):
+            manifest = real(rows_.coalesce(1), folder, s)
+            (name,) = [r["name"] for r in manifest.collect()]
+            with open(f"{folder.removeprefix('file:')}/{name}", "wb") as f:
+                f.write(content)
+            return manifest
+        monkeypatch.setattr(warc, "write_archives", damaged)
+        with pytest.raises(Exception, match="2 written|gzip member cut off"):
+            warc.round_trip(pages).collect()
+
+
+def test_warc_archives_are_compressed_once(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "a"), (2, "u", "b")], "page_id long, url string, html string")
+    folder = f"file:{tmp_path}/archives"
+    warc.write_archives(warc.digests(pages), folder)
+    got = warc.read_archives(spark, folder).collect()
+    assert sorted((r["kind"], r["page_id"], bytes(r["block"] or b"")) for r in got) == [("record", "1", b"a"), ("record", "2", b"b")]
+
+
 def test_toxicity_on_held_out_rows(spark, sf):
     big = sf.replace("sf0.001", "sf0.01")
     labels = spark.read.parquet(f"{big}/labels.parquet").select("doc_id", "toxic")
