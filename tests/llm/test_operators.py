@@ -111,6 +111,16 @@ def test_toxicity_on_held_out_rows(spark, sf):
     assert ((clean >= 0.7).mean()) < 0.02
 
 
+def test_toxicity_recall_at_the_threshold_by_language(spark, sf):
+    big = sf.replace("sf0.001", "sf0.1")
+    labels, langs = (spark.read.parquet(f"{big}/{t}.parquet").select("doc_id", c) for t, c in (("labels", "toxic"), ("documents", "lang")))
+    held = queries.op2(spark, big).where("held_out").join(labels, "doc_id").join(langs, "doc_id").toPandas()
+    toxic, clean = held[held.toxic == 1], held[held.toxic == 0]
+    recall = toxic.groupby("lang").predicted.mean()
+    assert recall["en"] > 0.8 and recall["fr"] > 0.25 and recall["de"] > 0.25 and recall["es"] > 0.1
+    assert toxic.predicted.mean() > 0.55 and clean.predicted.sum() <= 3
+
+
 def test_toxicity_odd_rows(spark):
     docs = documents(spark, [None, "", "you idiot", "fine day", "idiot again"])
     labels = spark.createDataFrame([(2, 1), (3, 0), (4, None), (None, 1)], "doc_id long, toxic int")
