@@ -109,7 +109,7 @@ def register(name: str, needs: tuple[str, ...], sql: str) -> None:
 
 
 def with_views(body: str, *names: str) -> str:
-    """Prefix `body` with the named views and everything they build on, as common table expressions."""
+    """Prefix `body` with the named views and everything they build on, as common table expressions that run once each."""
     done: list[str] = []
 
     def visit(name: str) -> None:
@@ -120,5 +120,5 @@ def with_views(body: str, *names: str) -> str:
 
     for n in names:
         visit(n)
-    ctes = ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in done)
+    ctes = ",\n".join(f"{n} AS MATERIALIZED ({VIEWS[n][1]})" for n in done)
     return f"WITH {ctes}\n{body}" if ctes else body
