@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bizlens.llm import exact_dedup, hmm_lm, jaccard_join, mixing, packing, quality, suffix_dedup, toxicity, url_filter, warc
+from bizlens.llm import exact_dedup, filter_audit, hmm_lm, html_extract, jaccard_join, mixing, packing, quality, spelling, suffix_dedup, toxicity, url_filter, warc
 from bizlens.llm.common import id_bucket, table
 
 MAX_PASSES = 2.0
@@ -60,6 +60,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "n_tokens", F.col("_block").alias("block"), F.col("_copy").alias("pass"), F.col("_weight").alias("weight"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.html_extract(table(spark, sf_dir, "pages"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -76,5 +88,8 @@ QUERIES = {
     "op8_hmm_scoring": op8,
     "op9_quality_rules": op9,
     "op10_source_mixing": op10,
+    "op11_html_extraction": op11,
+    "op12_spelling_variants": op12,
+    "op13_filter_audit": op13,
     "pipeline": pipeline,
 }
