@@ -89,16 +89,25 @@ def _featurise(s: Settings):
     return run
 
 
-def _train(s: Settings, state: tuple[bytes, bytes] | None):
+def _spread(at, values, s: Settings, kind=np.float32) -> np.ndarray:
+    out = np.zeros((1 << s.bits) + 1, kind)
+    out[np.frombuffer(at, np.int32)] = np.frombuffer(values, np.float32)
+    return out
+
+
+def _train(s: Settings, state):
+    """One epoch from the broadcast `state` (coordinates met so far, their z and n), or from nothing. A coordinate that
+    was never met has neither, so only the others travel."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, seen = Ftrl(s, *([np.frombuffer(x, np.float32) for x in state] if state else ())), 0
+        model, seen = Ftrl(s, *([_spread(state.value[0], x, s) for x in state.value[1:]] if state else ())), 0
         for b in batches:
             for label, raw in zip(b.column("_label").to_pylist(), b.column("_buckets")):
                 model.step(np.frombuffer(raw.as_buffer(), np.int32), label)
                 seen += 1
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([model.z.tobytes()], pa.binary()), pa.array([model.n.tobytes()], pa.binary())],
-                                             names=["rows", "z", "n"])
+            at = np.flatnonzero(model.n).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([seen]), *[pa.array([x.tobytes()], pa.binary()) for x in (at, model.z[at], model.n[at])]],
+                                             names=["rows", "at", "z", "n"])
     return run
 
 
@@ -107,7 +116,7 @@ def fit(labelled: DataFrame, s: Settings = Settings()) -> np.ndarray:
 
     `_order` must be a fixed hash of the row; it deals rows to shards and orders them. Features are written once, a
     folder per shard, and every epoch streams each folder through one task. Only `shards` model states, of a
-    size fixed by `bits`, reach the driver. Without rows, or with one class only, the weights are what FTRL then learns
+    size bounded by `bits`, reach the driver; their average goes out as a broadcast that ends with the epoch. Without rows, or with one class only, the weights are what FTRL then learns
     (zeros for no rows).
     """
     rows = labelled.where("_label is not null").mapInArrow(_featurise(s), "_order long, _label int, _buckets binary")
@@ -115,14 +124,21 @@ def fit(labelled: DataFrame, s: Settings = Settings()) -> np.ndarray:
     rows.withColumn("_shard", F.pmod(F.col("_order"), F.lit(s.shards))).write.partitionBy("_shard").parquet(path)
     kept = labelled.sparkSession.read.schema("_order long, _label int, _buckets binary, _shard long").parquet(path)
     rows = reduce(DataFrame.unionAll, [kept.where(F.col("_shard") == k).drop("_shard").coalesce(1).sortWithinPartitions("_order") for k in range(s.shards)])
-    state = None
+    state = z = n = None
     for _ in range(s.epochs):
-        got = rows.mapInArrow(_train(s, state), "rows long, z binary, n binary").collect()
-        if not got:
+        got = rows.mapInArrow(_train(s, state), "rows long, at binary, z binary, n binary").toArrow()
+        if state:
+            state.destroy()
+        if not got.num_rows:
             return np.zeros((1 << s.bits) + 1, np.float32)
-        share = np.array([r["rows"] for r in got], np.float64) / sum(r["rows"] for r in got)
-        state = tuple(sum(f * np.frombuffer(r[k], np.float32) for f, r in zip(share, got)).astype(np.float32).tobytes() for k in ("z", "n"))
-    return Ftrl(s, *[np.frombuffer(x, np.float32) for x in state]).weights()
+        seen = got.column("rows").to_pylist()
+        at = [x.as_buffer() for x in got.column("at")]
+        z, n = (sum(k / sum(seen) * _spread(i, x.as_buffer(), s, np.float64) for k, i, x in zip(seen, at, got.column(c))).astype(np.float32) for c in ("z", "n"))
+        del got, at
+        met = np.flatnonzero(n).astype(np.int32)
+        state = labelled.sparkSession.sparkContext.broadcast((met.tobytes(), z[met].tobytes(), n[met].tobytes()))
+    state.destroy()
+    return Ftrl(s, z, n).weights()
 
 
 def score_arrays(data: np.ndarray, off: np.ndarray, weights: np.ndarray, bits: int) -> np.ndarray:
@@ -166,8 +182,8 @@ def _keep(value, s: Settings, threshold: float):
         weights = np.zeros((1 << s.bits) + 1, np.float32)
         weights[np.frombuffer(at, np.int32)] = np.frombuffer(w, np.float32)
         for b in batches:
-            data, off = buffers(b.column("_text_read"))
-            rest = b.select([n for n in b.schema.names if n != "_text_read"])
+            data, off = buffers(b.column(b.num_columns - 1))
+            rest = b.select(b.schema.names[:-1])
             for i, j in row_slices(off, 2 * BATCH_BYTES):
                 p = score_arrays(data[off[i]:off[j]], off[i:j + 1] - off[i], weights, s.bits)
                 yield rest.slice(i, j - i).filter(pa.array(p < threshold))
@@ -175,10 +191,11 @@ def _keep(value, s: Settings, threshold: float):
 
 
 def keep_clean(docs: DataFrame, weights: np.ndarray, s: Settings = Settings(), text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose score is below the threshold; one scan, no shuffle."""
+    """The rows, with all their columns, whose score is below the threshold; one scan, no shuffle. Null and empty texts
+    get the bias alone; rows that repeat an id are judged each."""
     at = np.flatnonzero(weights).astype(np.int32)
     packed = (at.tobytes(), weights[at].astype(np.float32).tobytes())
-    return docs.withColumn("_text_read", F.col(text_col)).mapInArrow(_keep(packed, s, s.threshold), docs.schema)
+    return docs.select("*", F.col(text_col).alias("_" + "_".join(docs.columns))).mapInArrow(_keep(packed, s, s.threshold), docs.schema)
 
 
 def sample_labels(labels: DataFrame, allowed, s: Settings, label_col: str = "toxic", id_col: str = "doc_id") -> DataFrame:
