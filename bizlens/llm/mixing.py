@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from bizlens.llm.common import BLANK, text_or_empty
+from bizlens.llm.common import BLANK, text_or_empty, written_for_now
 
 N_BLOCKS = 1024
+#: Rows of the plan (source, block) that may be broadcast: 100 sources at least, about 5 MB.
+PLAN_ROWS = 100 * N_BLOCKS
 STEPS = 60
 
 
@@ -76,15 +78,15 @@ def bisect(too_low, lo: float, hi: float, steps: int) -> float:
     return hi
 
 
-def passes(counted: DataFrame, target_entropy: float | None, max_passes: float | None, seed: int) -> DataFrame:
-    """source, share, weight, n_full (whole passes) and extra (bitmap of the blocks read once more), a row per source.
+def passes(blocks: DataFrame, target_entropy: float | None, max_passes: float | None, seed: int) -> DataFrame:
+    """_source, _block, _weight and _times (how often its rows are read), a row per source and block, from `blocks`
+    (source, block, tokens).
 
     The budget is the one at which the source that needs the fewest passes is read once, so no document is lost. A
     source's budget is its weight times the total; whole passes are taken first, the rest is filled with its blocks in
     an order permuted by the seed, as long as a block's middle lies within the budget. A source has N_BLOCKS blocks at
     most, whatever it holds, so ordering them is bounded.
     """
-    blocks = counted.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens"))
     totals = blocks.groupBy("source").agg(F.sum("tokens").alias("tokens"))
     a = find_exponent(totals, target_entropy, max_passes)
     top = totals.agg(F.max(F.log("tokens")).alias("top")).first()["top"] or 0.0
@@ -96,13 +98,11 @@ def passes(counted: DataFrame, target_entropy: float | None, max_passes: float |
                        F.floor(F.col("need") + 1e-9).cast("bigint").alias("n_full"),
                        (F.col("tokens") * (F.col("need") - F.floor(F.col("need") + 1e-9))).alias("rest"))
     permuted = Window.partitionBy("_source").orderBy(F.xxhash64(F.lit(seed + 1), "_source", "block"), "block")
-    order = (blocks.select(F.coalesce("source", F.lit("\x00null")).alias("_source"), "source", "block", "tokens")
+    order = (blocks.select(F.coalesce("source", F.lit("\x00null")).alias("_source"), "block", "tokens")
              .withColumn("before", F.sum("tokens").over(permuted) - F.col("tokens")))
-    keyed = need.select(F.coalesce("source", F.lit("\x00null")).alias("_source"), "share", "weight", "n_full", "rest")
-    chosen = order.join(keyed, "_source").groupBy("_source").agg(
-        F.first("source").alias("source"), F.first("share").alias("share"), F.first("weight").alias("weight"), F.first("n_full").alias("n_full"),
-        F.collect_set(F.when(F.col("before") + F.col("tokens") / 2 <= F.col("rest"), F.col("block"))).alias("extra"))
-    return chosen
+    keyed = need.select(F.coalesce("source", F.lit("\x00null")).alias("_source"), "weight", "n_full", "rest")
+    again = (F.col("before") + F.col("tokens") / 2 <= F.col("rest")).cast("bigint")
+    return order.join(keyed, "_source").select("_source", F.col("block").alias("_block"), F.col("weight").alias("_weight"), (F.col("n_full") + again).alias("_times"))
 
 
 def mix_sources(docs: DataFrame, target_entropy: float | None = None, max_passes: float | None = 4.0, seed: int = 17,
@@ -115,12 +115,18 @@ def mix_sources(docs: DataFrame, target_entropy: float | None = None, max_passes
     A null source is a source of its own. Empty and null texts hold one token, the end. Rows that repeat an id fall in
     the same block. Ties between blocks follow the block number. Input columns of any name are kept; the three added
     ones replace input columns of their names. An empty table gives an empty result.
+
+    Texts are counted in one scan. The plan has a row per source and block and is written before it is joined: up to
+    PLAN_ROWS it is broadcast and no text is shuffled, beyond that rows meet it by source and block, so that a source
+    with a third of all rows is dealt over N_BLOCKS keys.
     """
-    own = ["_copy", "_block", "_weight", "_source"]
+    own = ["_copy", "_block", "_weight", "_source", "_times"]
     docs = docs.drop(*own)
     count = token_count(text_or_empty(text_col)) if n_tokens is None else n_tokens
     counted = docs.select(F.col(source_col).alias("source"), block_of(F.col(id_col), seed).alias("block"), count.alias("n_tokens"))
-    plan = passes(counted, target_entropy, max_passes, seed).select("_source", F.col("weight").alias("_weight"), F.col("n_full").alias("_full"), F.col("extra").alias("_extra"))
+    blocks, drop = written_for_now(counted.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens")), "mixing-blocks")
+    plan, _ = written_for_now(passes(blocks, target_entropy, max_passes, seed), "mixing-plan")
+    drop()
+    plan = F.broadcast(plan) if plan.count() <= PLAN_ROWS else plan.hint("merge")
     rows = docs.withColumns({"_source": F.coalesce(F.col(source_col), F.lit("\x00null")), "_block": block_of(F.col(id_col), seed)})
-    times = F.col("_full") + F.array_contains("_extra", F.col("_block")).cast("bigint")
-    return rows.join(plan, "_source").select(*docs.columns, "_block", "_weight", F.explode(F.sequence(F.lit(0), (times - 1).cast("int"))).alias("_copy"))
+    return rows.join(plan, ["_source", "_block"]).select(*docs.columns, "_block", "_weight", F.explode(F.sequence(F.lit(0), (F.col("_times") - 1).cast("int"))).alias("_copy"))
