@@ -1,4 +1,9 @@
-"""A training corpus from `documents`: drop toxic texts, exact and near copies, mix the sources, pack into sequences."""
+"""A training corpus from `documents`: drop toxic texts, exact and near copies, mix the sources, pack into sequences.
+
+Every stage decides on rows, not on ids: rows that repeat an id with another text are documents of their own, and of rows
+that agree in id and text one stays. Null texts are empty: one empty document passes the exact stage. A null id is an id
+like others. Columns other than COLUMNS are dropped; empty tables give empty results.
+"""
 
 from __future__ import annotations
 
@@ -16,9 +21,16 @@ from bizlens.session import scratch_path
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def keep_only(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """`docs` without the ids in `dropped`; rows without an id stay."""
-    return docs.join(dropped.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+def with_row(docs: DataFrame) -> DataFrame:
+    """`docs` with _row, a hash of id and text: together with the id it tells rows apart."""
+    return docs.select(*COLUMNS, F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("_row"))
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """`docs` (with _row) without the rows in `dropped` (id, row), and each of the others once."""
+    gone = dropped.select(F.col("doc_id").alias("_id"), F.col("row").alias("_gone")).distinct()
+    rest = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (docs["_row"] == gone["_gone"]), "left_anti")
+    return rest.dropDuplicates(["doc_id", "_row"]).select(*COLUMNS)
 
 
 def rows_at_a_time(spark: SparkSession, n: int) -> None:
@@ -38,13 +50,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of texts that are equal without white space."""
-    return keep_only(docs, exact_dedup.exact_dedup(docs).where("not kept"))
+    rows = with_row(docs)
+    return without(rows, exact_dedup.exact_dedup(rows, row_col="_row").where("not kept").select("doc_id", "row"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of every group of linked documents."""
+    """The smallest id of every group of linked documents (a row without an id only where no other is in the group)."""
     rows_at_a_time(spark, 1_000)
-    return keep_only(docs, jaccard_join.jaccard_join(docs).where("doc_id <> component_id"))
+    rows = with_row(docs)
+    found = jaccard_join.jaccard_join(rows, id_col="_row").select(F.col("doc_id").alias("row"), "component_id")
+    groups = found.where("row <> component_id").select("component_id").distinct()
+    members = found.join(groups, "component_id").join(rows.select("doc_id", F.col("_row").alias("row")), "row").distinct()
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"))
+    return without(rows, members.join(first, "component_id").where(F.col("row") != F.col("first.row")).select("doc_id", "row"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
