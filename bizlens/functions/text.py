@@ -92,14 +92,6 @@ def asked_design(text: Column) -> Column:
     return F.when(low.rlike(r"(?:design|with)\s+([a-z0-9 ]{3,30}?)(?:\?|\.|,|$)") & low.contains("my name"), "custom name")
 
 
-def asked_product(text: Column, catalogue: Column) -> Column:
-    """The product most of whose name words the text holds; the first of equals. `catalogue` is array<struct<pos,name,words>>."""
-    low = F.lower(text)
-    rated = F.transform(catalogue, lambda p: F.struct(F.size(F.filter(p["words"], lambda w: low.contains(w))).alias("hits"), (-p["pos"]).alias("first"), p["name"].alias("name")))
-    best = F.array_max(rated)
-    return F.when(best["hits"] > 0, best["name"])
-
-
 def name_words(name: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(name), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: (F.length(w) > 2) & ~w.isin(*PLAIN_WORDS))
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bizlens.functions.numbers import half_even, ratio
+from bizlens.operators.ranges import range_rank
 from bizlens.operators.skew import settle
 
 KEYS = ["business_id", "week_no"]
@@ -46,8 +47,8 @@ def library(spark) -> DataFrame:
 
 
 # ---------------------------------------------------------------- partners, terms, products
-def rank_partners(partners: DataFrame, profile: DataFrame, results: DataFrame) -> DataFrame:
-    """Score and rank of each candidate; one that costs more than the budget is blocked instead of ranked."""
+def score_partners(partners: DataFrame, profile: DataFrame, results: DataFrame) -> DataFrame:
+    """Score of each candidate; one that costs more than the budget is blocked."""
     past = results.groupBy("partner_id").agg(F.avg("stranger_leads").alias("avg_leads"))
     j = partners.join(profile.select("business_id", F.col("city").alias("own_city"), F.col("topics").alias("own_topics"), "ad_budget_inr"), "business_id").join(past, "partner_id", "left")
     audience = F.when(F.arrays_overlap("topics", "own_topics"), 1.0).otherwise(0.4)
@@ -57,19 +58,24 @@ def rank_partners(partners: DataFrame, profile: DataFrame, results: DataFrame) -
     history = F.when(F.col("avg_leads").isNotNull(), half_even(F.least(F.lit(1.0), F.col("avg_leads") / 5), 3)).otherwise(0.5)
     p = settle(j.select("business_id", "partner_id", "name", "type", "cost_inr", "ad_budget_inr", audience.alias("audience"), location.alias("location"), engagement.alias("engagement"), history.alias("past")))
     score = 100 * (0.35 * F.col("audience") + 0.20 * F.col("location") + 0.25 * F.col("engagement") + 0.20 * F.col("past"))
-    p = settle(p.withColumn("score", half_even(score, 1)).withColumn("blocked", F.col("cost_inr") > F.col("ad_budget_inr")))
-    w = Window.partitionBy("business_id", "blocked").orderBy(F.col("score").desc(), "partner_id")
-    return p.withColumn("rank", F.when(~F.col("blocked"), F.row_number().over(w)).cast("bigint"))
-
-
-def partner_picks(ranked: DataFrame) -> DataFrame:
-    """Per business: the best partner and the best community other than it."""
-    open_ = ranked.where(~F.col("blocked"))
-    best = F.min(F.struct("rank", "partner_id", "score"))
-    com = F.col("type") == "community"
-    g = open_.groupBy("business_id").agg(best.alias("top"), F.min(F.when(com, F.struct("rank", "partner_id", "score"))).alias("c1"), F.min(F.when(com & (F.col("rank") > 1), F.struct("rank", "partner_id", "score"))).alias("c2"))
-    community = F.when(F.col("c1.partner_id") != F.col("top.partner_id"), F.col("c1")).otherwise(F.col("c2"))
-    return g.select("business_id", F.col("top.partner_id").alias("top_partner"), F.col("top.score").alias("top_score"), community["partner_id"].alias("community"), community["score"].alias("community_score"))
+    return settle(p.withColumn("score", half_even(score, 1)).withColumn("blocked", F.col("cost_inr") > F.col("ad_budget_inr")))
+
+
+def rank_partners(partners: DataFrame, profile: DataFrame, results: DataFrame) -> DataFrame:
+    """Scored candidates with their rank among those of the business that are not blocked."""
+    placed = range_rank(score_partners(partners, profile, results), ["business_id", "blocked"], [F.col("score").desc(), F.col("partner_id")])
+    return placed.withColumn("rank", F.when(~F.col("blocked"), F.col("rank")))
+
+
+def partner_picks(scored: DataFrame) -> DataFrame:
+    """Per business: the best partner and the best community other than it. Best is highest score, then smallest id."""
+    open_ = scored.where(~F.col("blocked"))
+    best = F.min(F.struct((-F.col("score")).alias("minus"), "partner_id", "score"))
+    top = open_.groupBy("business_id").agg(best.alias("top"))
+    others = open_.where("type = 'community'").join(top, "business_id").where(F.col("partner_id") != F.col("top.partner_id"))
+    community = others.groupBy("business_id").agg(best.alias("c"))
+    return top.join(community, "business_id", "left").select("business_id", F.col("top.partner_id").alias("top_partner"), F.col("top.score").alias("top_score"),
+                                                             F.col("c.partner_id").alias("community"), F.col("c.score").alias("community_score"))
 
 
 def protected_matches(products: DataFrame) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bizlens.functions import model as mdl
 from bizlens.functions import text as tx
 from bizlens.functions.numbers import half_even, ratio
-from bizlens.operators.skew import two_level_cumsum, two_level_rank
+from bizlens.sources.tables import materialise
+from bizlens.operators.mentions import mentions
+from bizlens.operators.ranges import range_rank
+from bizlens.operators.skew import two_level_cumsum
 
 # ---- fixed values
 POINTS = {"price_question": 40, "bought_before": 30, "story_reply": 20, "saved_or_shared": 15, "comment": 10, "follow_or_like": 5}
@@ -22,17 +25,12 @@ OUTCOMES = ("open", "ordered", "not_ordered")
 
 
 # ---------------------------------------------------------------- messages
-def catalogues(products: DataFrame) -> DataFrame:
-    """Per business: its product names with their telling words, in list order (one business's catalogue, not its orders)."""
-    return products.groupBy("business_id").agg(F.array_sort(F.collect_list(F.struct(F.col("first_key").alias("pos"), F.col("name"), tx.name_words(F.col("name")).alias("words")))).alias("catalogue"))
-
-
 def read_messages(messages: DataFrame, products: DataFrame, serves: DataFrame) -> DataFrame:
-    """Intents, asked-for details and signals per message."""
-    m = messages.join(catalogues(products), "business_id", "left").join(serves.select("business_id", "serves_cities"), "business_id", "left")
+    """Intents, asked-for details and signals per message; `msg_no` is unique inside a business."""
+    m = messages.join(serves.select("business_id", "serves_cities"), "business_id", "left").join(mentions(messages, products), ["business_id", "msg_no"], "left")
     t = F.col("text")
     m = m.select(*messages.columns, tx.intents(t).alias("intents"), tx.asked_size(t).alias("size"), tx.asked_city(t, F.col("serves_cities")).alias("city"),
-                 tx.asked_product(t, F.col("catalogue")).alias("product"), tx.asked_design(t).alias("design"))
+                 "product", tx.asked_design(t).alias("design"))
     return m.withColumn("signals", tx.signals(F.col("channel"), F.col("intents")))
 
 
@@ -127,12 +125,10 @@ def group_position() -> Column:
 
 
 def ranked(listed: DataFrame) -> DataFrame:
-    """Position in the day's list: group, score, strangers first, latest signal, id. Disqualified leads have none.
-
-    Everything but the id takes few values, so offsets come from counts and no business is sorted in one task.
-    """
-    coarse = [group_position(), -F.col("score"), F.when(F.col("relationship") == "stranger", 0).otherwise(1), -F.datediff("last_signal", F.lit("1970-01-01").cast("date"))]
-    good = two_level_rank(listed.where("group <> 'disqualified'"), ["business_id", "as_of"], coarse, [F.col("lead_id")])
+    """Position in the day's list: group, score, strangers first, latest signal, id. Disqualified leads have none."""
+    order = [group_position(), F.col("score").desc(), F.when(F.col("relationship") == "stranger", 0).otherwise(1), F.col("last_signal").desc(), F.col("lead_id")]
+    listed = materialise(listed, "listed")  # both halves read it
+    good = range_rank(listed.where("group <> 'disqualified'"), ["business_id", "as_of"], order)
     return good.unionByName(listed.where("group = 'disqualified'").withColumn("rank", F.lit(None).cast("bigint")))
 
 

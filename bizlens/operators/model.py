@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from bizlens.functions import model as mdl
 from bizlens.functions.numbers import half_even, ratio
-from bizlens.operators.skew import two_level_cumsum, two_level_rank
+from bizlens.operators.ranges import range_rank
+from bizlens.operators.skew import two_level_cumsum
 
 NUMERIC = ("prior_contacts", "days_since_last_contact", "contacts_this_campaign")
-ROW_BLOCK = 10_000_000
 MAX_STEPS = 2000  # fixed value: far above what a fit needs to converge
 TREES = 200  # fixed value: rounds of the boosted challenger
 
@@ -53,7 +53,7 @@ def queue(leads: DataFrame, channel: Column, limit: int) -> DataFrame:
 
 def chronological(rows: DataFrame, day: str, tie: str) -> DataFrame:
     """File position in time order, from 0."""
-    return two_level_rank(rows, [], [F.datediff(day, F.lit("1970-01-01").cast("date"))], [F.col(tie)], "pos").withColumn("row_idx", F.col("pos") - 1).drop("pos")
+    return range_rank(rows, [], [F.col(day), F.col(tie)], "pos").withColumn("row_idx", F.col("pos") - 1).drop("pos")
 
 
 def years_from_months(rows: DataFrame, first_year: int) -> DataFrame:
@@ -102,7 +102,7 @@ def calibration_metrics(scored: DataFrame, model: str = "model", p: str = "p", y
     bins = scored.withColumn("bin", F.least(F.floor(F.col(p) * 10), F.lit(9)).cast("int")).groupBy(model, "bin").agg(
         F.count(F.lit(1)).alias("n"), F.sum(p).alias("sp"), F.sum(y).alias("sy"), F.sum((F.col(p) - F.col(y)) * (F.col(p) - F.col(y))).alias("se"))
     base = bins.groupBy(model).agg(F.sum("n").alias("n"), F.sum("sy").alias("sy"), F.sum("se").alias("se"), F.sum(F.abs(F.col("sp") - F.col("sy"))).alias("gap"))
-    ranks = two_level_rank(scored.select(model, p, y, tie), [model], [-F.col(p), F.floor(F.col(tie) / ROW_BLOCK)], [F.col(tie)], "place")
+    ranks = range_rank(scored.select(model, p, y, tie), [model], [F.col(p).desc(), F.col(tie)], "place")
     k = F.greatest(F.lit(1), F.floor(F.col("n") * share))
     # n is one row per model
     top = ranks.join(F.broadcast(base.select(model, "n")), model).where(F.col("place") <= k).groupBy(model).agg(F.sum(y).alias("ty"), F.count(F.lit(1)).alias("tn"))

@@ -94,23 +94,6 @@ def exact_quantiles(df: DataFrame, part: Sequence[str], value: str, probs: dict[
         *[(F.col(f"_lo_{o}") + (F.col(f"_hi_{o}") - F.col(f"_lo_{o}")) * F.col(f"_fr_{o}")).alias(o) for o in probs])
 
 
-def two_level_rank(df: DataFrame, part: Sequence[str], coarse: Sequence[Column], fine: Sequence[Column],
-                   out: str = "rank") -> DataFrame:
-    """Dense unique positions 1..n inside each part, ordered by `coarse` (few distinct values) then `fine`.
-
-    Counts per coarse value give each one its offset; rows are then ordered only among equals.
-    """
-    part = list(part)
-    names = [f"_c{i}" for i in range(len(coarse))]
-    keyed = df.select("*", *[c.alias(n) for c, n in zip(coarse, names)])
-    counts = keyed.groupBy(*part, *names).agg(F.count(F.lit(1)).alias("_cnt"))
-    before = Window.partitionBy(*part).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*part, *names, F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy(*part, *names).orderBy(*fine)
-    joined = keyed.join(offsets.select(*part, *names, "_off"), [*part, *names])
-    return joined.select(*df.columns, (F.col("_off") + F.row_number().over(inside)).cast("bigint").alias(out))
-
-
 def settle(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Compute this projection's columns once and let later filters read them.
 

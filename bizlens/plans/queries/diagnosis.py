@@ -9,6 +9,7 @@ from bizlens.operators import actions as ac
 from bizlens.operators import calendar as cal
 from bizlens.operators import diagnosis as dx
 from bizlens.operators import facts as fx
+from bizlens.operators.ranges import range_rank
 from bizlens.plans import bindings as bd
 from bizlens.plans.bindings import Tables
 from bizlens.plans.queries.facts import inputs
@@ -23,14 +24,15 @@ def facts(s, d):
 def asked(s, d):
     """Leads with the product they asked for: a name of their business's catalogue picked by key."""
     t = Tables(s, d)
-    names = t.products().groupBy("business_id").agg(F.array_sort(F.collect_list("name")).alias("names"))
-    l = t.leads().join(names, "business_id")
-    return l.select("business_id", "lead_id", F.get("names", (F.col("user_id") * F.col("user_id") % F.size("names")).cast("int")).alias("product"))
+    names = materialise(range_rank(t.products().select("business_id", "name"), ["business_id"], [F.col("name")], "place"), "names")
+    size = names.groupBy("business_id").agg(F.max("place").alias("names"))
+    l = t.leads().join(size, "business_id").select("business_id", "lead_id", (F.col("user_id") * F.col("user_id") % F.col("names") + 1).alias("place"))
+    return l.join(names, ["business_id", "place"]).select("business_id", "lead_id", F.col("name").alias("product"))
 
 
 def situation(s, d, f=None):
     t = Tables(s, d)
-    partners = ac.partner_picks(ac.rank_partners(t.partners(), t.profile(), t.partner_results()))
+    partners = ac.partner_picks(ac.score_partners(t.partners(), t.profile(), t.partner_results()))
     products = ac.product_picks(t.products(), ac.product_demand(asked(s, d), t.products()))
     up = cal.upcoming(t.snapshots(), bd.event_windows(t), ["business_id", "week_no"])
     return ac.situation(t.snapshots(), t.profile(), partners, up, products, f if f is not None else facts(s, d))

@@ -13,7 +13,8 @@ from bizlens.functions import clean as cl
 from bizlens.functions import text as tx
 from bizlens.functions.numbers import half_even
 from bizlens.operators import imports as im
-from bizlens.operators.skew import attach_by_key, exact_quantiles, two_level_cumsum, two_level_rank
+from bizlens.operators.ranges import range_rank
+from bizlens.operators.skew import attach_by_key, exact_quantiles, two_level_cumsum
 
 
 def test_half_even_is_correctly_rounded(spark):
@@ -61,7 +62,7 @@ def test_running_sums_and_ranks_do_not_depend_on_partitioning(spark):
         for _, v, n in sorted(rows, key=lambda r: -r[1]):
             run += n
             assert got[v] == run
-        ranks = sorted((r.n, r.v, r["rank"]) for r in two_level_rank(df, ["g"], [F.col("n")], [F.col("v")]).collect())
+        ranks = sorted((r.n, r.v, r["rank"]) for r in range_rank(df, ["g"], [F.col("n"), F.col("v")]).collect())
         assert [r[2] for r in ranks] == list(range(1, 401))
 
 
