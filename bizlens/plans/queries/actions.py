@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from bizlens.operators import actions as ac
 from bizlens.operators import diagnosis as dx
 from bizlens.plans.bindings import Tables
-from bizlens.plans.queries.diagnosis import asked, candidates, facts, findings
+from bizlens.plans.queries.diagnosis import asked, candidates, findings
 
 KEYS = ["business_id", "week_no"]
 
@@ -39,9 +39,7 @@ def status(s, d):
 
 
 def week_actions(s, d):
-    f = facts(s, d)
-    c = candidates(s, d, f)
-    return ac.week_actions(c, ac.target_bottleneck(dx.verdict(findings(s, d, f, c))), status(s, d))
+    return ac.week_actions(candidates(s, d), ac.target_bottleneck(dx.verdict(findings(s, d))), status(s, d))
 
 
 GATED = [*KEYS, "action_key", "eligible", "blocked_reason"]

@@ -12,16 +12,16 @@ from bizlens.operators import facts as fx
 from bizlens.operators.ranges import range_rank
 from bizlens.plans import bindings as bd
 from bizlens.plans.bindings import Tables
-from bizlens.plans.queries.facts import inputs
+from bizlens.plans.queries.facts import facts
 from bizlens.plans.queries.projection import projection
-from bizlens.sources.tables import materialise
+from bizlens.sources.tables import materialise, stored
 
 
-def facts(s, d):
-    return materialise(fx.fact_table(inputs(s, d)), "facts")
+def asked(s, d):
+    return stored(s, d, "asked", lambda: _asked(s, d))
 
 
-def asked(s, d):
+def _asked(s, d):
     """Leads with the product they asked for: a name of their business's catalogue picked by key."""
     t = Tables(s, d)
     names = materialise(range_rank(t.products().select("business_id", "name"), ["business_id"], [F.col("name")], "place"), "names")
@@ -30,23 +30,20 @@ def asked(s, d):
     return l.join(names, ["business_id", "place"]).select("business_id", "lead_id", F.col("name").alias("product"))
 
 
-def situation(s, d, f=None):
+def situation(s, d):
     t = Tables(s, d)
     partners = ac.partner_picks(ac.score_partners(t.partners(), t.profile(), t.partner_results()))
     products = ac.product_picks(t.products(), ac.product_demand(asked(s, d), t.products()))
     up = cal.upcoming(t.snapshots(), bd.event_windows(t), ["business_id", "week_no"])
-    return ac.situation(t.snapshots(), t.profile(), partners, up, products, f if f is not None else facts(s, d))
+    return ac.situation(t.snapshots(), t.profile(), partners, up, products, facts(s, d))
 
 
-def candidates(s, d, f=None):
-    f = f if f is not None else facts(s, d)
-    return materialise(ac.candidates(situation(s, d, f), ac.library(s), f), "candidates")
+def candidates(s, d):
+    return stored(s, d, "candidates", lambda: ac.candidates(situation(s, d), ac.library(s), facts(s, d)))
 
 
-def findings(s, d, f=None, c=None):
-    f = f if f is not None else facts(s, d)
-    c = c if c is not None else candidates(s, d, f)
-    return materialise(dx.findings(f, ac.actionability(c)), "findings")
+def findings(s, d):
+    return stored(s, d, "findings", lambda: dx.findings(facts(s, d), ac.actionability(candidates(s, d))))
 
 
 def verdicts(s, d):

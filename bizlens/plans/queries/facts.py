@@ -6,16 +6,17 @@ from pyspark.sql import functions as F
 
 from bizlens.operators import facts as fx
 from bizlens.plans.bindings import LEAD_SHIFT_DAYS, Tables
+from bizlens.sources.tables import stored
 
 
-MONEY_FACTS = {"f_unit_cost_full", "f_margin_per_order", "f_margin_pct", "f_discount_share"}
-
-
-def inputs(spark, sf, facts=fx.FACT_IDS) -> fx.Inputs:
+def inputs(spark, sf) -> fx.Inputs:
+    """The tables that facts start from. Orders, posts, leads and the two event tables are joined from the sources once."""
     t = Tables(spark, sf)
     shift = [F.date_sub(c, LEAD_SHIFT_DAYS).alias(c) for c in ("created", "outcome_date")]
-    leads = t.leads().select("business_id", "outcome", *shift)
-    return fx.Inputs(t.orders(bool(MONEY_FACTS & set(facts))), t.posts(), leads, t.turned_away(), t.stockouts(), t.profile(), t.snapshots())
+    held = [stored(spark, sf, name, build) for name, build in (
+        ("orders", t.orders), ("posts", t.posts), ("shifted-leads", lambda: t.leads().select("business_id", "outcome", *shift)),
+        ("turned-away", t.turned_away), ("stockouts", t.stockouts))]
+    return fx.Inputs(*held, t.profile(), t.snapshots())
 
 
 BRIEF = ["business_id", "week_no", "fact_id", "value", "numerator", "denominator", "sample_size", "sample_kind", "baseline", "gap_to_best"]
@@ -46,11 +47,12 @@ FACT_QUERIES = {
 
 
 def _brief(ids):
-    return lambda s, d: fx.fact_table(inputs(s, d, ids), facts=ids).select(*BRIEF)
+    return lambda s, d: fx.fact_table(inputs(s, d), facts=ids).select(*BRIEF)
 
 
-def _facts(s, d):
-    return fx.fact_table(inputs(s, d))
+def facts(s, d):
+    """The fact table, which diagnosis, actions and follow-up read as well."""
+    return stored(s, d, "facts", lambda: fx.fact_table(inputs(s, d)))
 
 
 def _series(s, d):
@@ -66,11 +68,11 @@ QUERIES = {
     "f01_week_grid": lambda s, d: fx.complete_windows(Tables(s, d).snapshots()).select(
         "business_id", "week_no", F.col("window_from").cast("string").alias("window_from"), F.col("window_to").cast("string").alias("window_to")),
     "f02_point_in_time": lambda s, d: fx.visible_counts(inputs(s, d)),
-    "f03_f04_own_best": lambda s, d: _facts(s, d).where(F.col("better") != "info").select(
+    "f03_f04_own_best": lambda s, d: facts(s, d).where(F.col("better") != "info").select(
         "business_id", "week_no", "fact_id", "value", "baseline", "best_from", "best_to", "gap_to_best", "delta_pct"),
-    "f05_small_samples": lambda s, d: _facts(s, d).select("business_id", "week_no", "fact_id", "sample_size", "sample_kind", "quality_flag", "source"),
-    "f06_fact_table": _facts,
+    "f05_small_samples": lambda s, d: facts(s, d).select("business_id", "week_no", "fact_id", "sample_size", "sample_kind", "quality_flag", "source"),
+    "f06_fact_table": facts,
     "f07_weekly_series": _series,
-    "f08_facts_by_bottleneck": lambda s, d: _facts(s, d).where(F.col("bottleneck") == "margin").select(*BRIEF, "bottleneck"),
-    "f09_fact_changes": lambda s, d: fx.fact_changes(_facts(s, d)),
+    "f08_facts_by_bottleneck": lambda s, d: facts(s, d).where(F.col("bottleneck") == "margin").select(*BRIEF, "bottleneck"),
+    "f09_fact_changes": lambda s, d: fx.fact_changes(facts(s, d)),
 }

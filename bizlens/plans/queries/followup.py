@@ -10,15 +10,13 @@ from bizlens.operators import followup as fu
 from bizlens.plans.bindings import Tables
 from bizlens.plans.queries.actions import status
 from bizlens.plans.queries.diagnosis import candidates, facts, findings
-from bizlens.sources.tables import materialise
+from bizlens.sources.tables import stored
 
 
 def week(s, d):
     """(facts, verdicts, reviews) of one run; each stage is a written table."""
-    f = facts(s, d)
-    c = candidates(s, d, f)
-    v = dx.verdict(findings(s, d, f, c))
-    return f, v, materialise(fu.reviews(ac.week_actions(c, ac.target_bottleneck(v), status(s, d)), f), "reviews")
+    f, v = facts(s, d), dx.verdict(findings(s, d))
+    return f, v, stored(s, d, "reviews", lambda: fu.reviews(ac.week_actions(candidates(s, d), ac.target_bottleneck(v), status(s, d)), f))
 
 
 def demand_view(s, d):

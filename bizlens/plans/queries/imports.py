@@ -12,7 +12,7 @@ from bizlens.operators import order_metrics as om
 from bizlens.plans import bindings as bd
 from bizlens.plans.bindings import Tables
 from bizlens.plans.queries.facts import inputs as fact_inputs
-from bizlens.sources.tables import materialise
+from bizlens.sources.tables import materialise, stored
 
 TS = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
@@ -22,7 +22,8 @@ def sheet(s, d):
 
 
 def judged(s, d):
-    return im.run_import(sheet(s, d), "orders", bd.ORDER_MAPPING, stage=lambda rows: materialise(rows, "typed"))
+    """The judged order sheet, a written table that every later step of the import reads."""
+    return stored(s, d, "judged", lambda: im.run_import(sheet(s, d), "orders", bd.ORDER_MAPPING, stage=lambda rows: materialise(rows, "typed")))
 
 
 def clean(s, d):

@@ -11,6 +11,7 @@ from bizlens.operators.imports import pseudonym, short_alias
 from bizlens.plans import bindings as bd
 from bizlens.plans.bindings import Tables
 from bizlens.plans.queries.order_metrics import sessions
+from bizlens.sources.tables import stored
 
 LEARN_DAY = "2024-02-05"
 
@@ -24,7 +25,7 @@ def lead_table(s, d):
 
 def daily(s, d):
     t = Tables(s, d)
-    return ld.daily_list(lead_table(s, d), t.lead_signals(), t.lead_snapshots())
+    return stored(s, d, "daily-list", lambda: ld.daily_list(lead_table(s, d), t.lead_signals(), t.lead_snapshots()))
 
 
 def day(df):
@@ -42,7 +43,7 @@ def messages(s, d):
 
 def read(s, d):
     t = Tables(s, d)
-    return ld.read_messages(messages(s, d), t.products(), t.profile())
+    return stored(s, d, "read-messages", lambda: ld.read_messages(stored(s, d, "messages", lambda: messages(s, d)), t.products(), t.profile()))
 
 
 def held(s, d):

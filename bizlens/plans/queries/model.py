@@ -9,13 +9,13 @@ from bizlens.functions.numbers import half_even
 from bizlens.operators import model as om
 from bizlens.plans import bindings as bd
 from bizlens.plans.bindings import Tables
-from bizlens.sources.tables import materialise
+from bizlens.sources.tables import materialise, stored
 
 ISOTONIC = ((0.0, 0.5, 1.0), (0.1, 0.4, 0.9))
 
 
 def contact(s, d):
-    return bd.contact_history(Tables(s, d))
+    return stored(s, d, "contacts", lambda: bd.contact_history(Tables(s, d)))
 
 
 def gappy(s, d):
@@ -26,8 +26,7 @@ def gappy(s, d):
 
 
 def split_rows(s, d):
-    rows = om.chronological(contact(s, d), "day", "order_id")
-    return om.split(om.years_from_months(rows, 1995), 1996)
+    return stored(s, d, "split", lambda: om.split(om.years_from_months(om.chronological(contact(s, d), "day", "order_id"), 1995), 1996))
 
 
 def hold_out_scores(s, d):
