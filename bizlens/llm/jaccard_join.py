@@ -288,8 +288,9 @@ def least_distance(a: np.ndarray, b: np.ndarray) -> int:
 
 def _widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        wide = [wide_sketch(np.frombuffer(x.as_py(), np.uint64)).tobytes() for x in b.column("items")]
-        yield pa.RecordBatch.from_arrays([b.column(c) for c in ("node", "n", "items")] + [pa.array(wide, pa.binary())], names=["node", "n", "items", "wide"])
+        items = [np.frombuffer(x.as_py(), np.uint64) for x in b.column("items")]
+        bits = [pa.array([f(x).tobytes() for x in items], pa.binary()) for f in (wide_sketch, sketch)]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "n", "items")), *bits], names=["node", "n", "items", "wide", "sketch"])
 
 
 def _near(s: Settings):
@@ -309,27 +310,23 @@ def _signed(s: Settings):
             for x in range(0, len(sets), 200):
                 some = [signatures(i, s) for i in sets[x:x + 200]]
                 n = np.array([len(g) for g in some])
-                part = b.slice(x, len(some))
-                pick = pa.array(np.repeat(np.arange(len(some)), n))
-                yield pa.RecordBatch.from_arrays(
-                    [as_long(np.concatenate(some)), *[part.column(c).take(pick) for c in ("node", "component", "n")],
-                     pa.array([sketch(i).tobytes() for i in sets[x:x + 200]], pa.binary()).take(pick)], names=["sig", "node", "component", "n", "sketch"])
+                yield pa.RecordBatch.from_arrays([as_long(np.concatenate(some)), b.column("node").slice(x, len(some)).take(pa.array(np.repeat(np.arange(len(some)), n)))], names=["sig", "node"])
     return run
 
 
-def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every member of a signature group with the group's smallest; rows are sorted by (sig, node)."""
-    sig = lead = None
-    for b in batches:
-        k, node = b.column("sig").to_numpy(), b.column("node").to_numpy()
-        edge = _edges(k) if len(k) else np.zeros(1, np.int64)
-        first = np.repeat(node[edge[:-1]], np.diff(edge))
-        if sig is not None and len(k) and k[0] == sig:
-            first[:edge[1]] = lead
-        if len(k):
-            sig, lead = k[-1], first[-1]
-        other = first != node
-        yield pa.RecordBatch.from_arrays([pa.array(first[other]), pa.array(node[other])], names=["a", "b"])
+def _several(column: str, least: str):
+    """The rows of signature groups with more than one value of `column`, and the least one of the group as `least`.
+    Rows are sorted by signature."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, edge in _sorted_groups(batches, "sig"):
+            x = t.column(column).to_numpy()
+            low = np.minimum.reduceat(x, edge[:-1])
+            size = np.diff(edge)
+            keep = np.repeat(low != np.maximum.reduceat(x, edge[:-1]), size)
+            if keep.any():
+                at = pa.array(np.flatnonzero(keep))
+                yield pa.RecordBatch.from_arrays([*(t.column(c).take(at).combine_chunks() for c in t.column_names), pa.array(np.repeat(low, size)[keep])], names=[*t.column_names, least])
+    return run
 
 
 def _across(s: Settings, small: int, most: int):
@@ -419,18 +416,20 @@ def links(sets: DataFrame, s: Settings) -> DataFrame:
     groups; then, wherever a group still spans several components, with the partners there that the sketches do not
     rule out: in large groups with the nearest ones first, and with all of them if that leaves components apart. Two
     members of one component need no comparison.
+
+    Sets are signed once. Of the signatures those that several sets share are written, without the sets; each later round
+    reads them, keeps the groups that still span components, and only then attaches sizes and sketches.
     """
-    def signed(found=None):
-        own = F.col("node").alias("component")
-        rows = sets.select("node", "n", "items", own) if found is None else (
-            sets.select("node", "n", "items").join(found, "node", "left").select("node", "n", "items", F.coalesce("component", "node").alias("component")))
-        return rows.mapInArrow(_signed(s), "sig long, node long, component long, n long, sketch binary")
-
-    star = (signed().select("sig", "node").repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_leaders, "a long, b long")
-            .groupBy("b").agg(F.min("a").alias("a")))
+    shared, drop = written_for_now(sets.select("node", "items").mapInArrow(_signed(s), "sig long, node long").repartition("sig").sortWithinPartitions("sig")
+                                   .mapInArrow(_several("node", "lead"), "sig long, node long, lead long"), "jaccard-signatures")
+    star = shared.where("lead <> node").groupBy(F.col("node").alias("b")).agg(F.min("lead").alias("a"))
     found = connected_components(verified(star, sets, s))
+    sketches = sets.select("node", "n", "sketch")
     for most in (8, 0):
-        cross = (signed(found).repartition("sig").sortWithinPartitions("sig")
+        placed = shared.select("sig", "node").join(found, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
+        mixed = (placed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_several("component", "least"), "sig long, node long, component long, least long")
+                 .drop("least").join(sketches, "node").select("sig", "node", "component", "n", "sketch"))
+        cross = (mixed.repartition("sig").sortWithinPartitions("sig")
                  .mapInArrow(_across(s, 64, most), "a long, b long, ca long, cb long, cut long")
                  .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.first("ca").alias("ca"), F.first("cb").alias("cb"), F.max("cut").alias("cut")))
         cross = written(cross, "jaccard-pairs")
@@ -443,6 +442,7 @@ def links(sets: DataFrame, s: Settings) -> DataFrame:
             open_ = open_.join(found.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")), c, "left").withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
         if open_.where("ca <> cb").isEmpty():
             break
+    drop()
     return found
 
 
@@ -457,7 +457,7 @@ def by_node(sets: DataFrame, left: DataFrame):
     one = (sets.repartition(n, "doc_id").join(keys, "doc_id").where("h1 = l1 and h2 = l2").groupBy("doc_id", "h1", "h2")
            .agg(F.first("n").alias("n"), F.first("items").alias("items")).select(F.col("doc_id").alias("node"), "n", "items"))
     with shuffles_freed(spark):
-        (one.mapInArrow(_widened, "node long, n long, items binary, wide binary").write.bucketBy(n, "node").sortBy("node")
+        (one.mapInArrow(_widened, "node long, n long, items binary, wide binary, sketch binary").write.bucketBy(n, "node").sortBy("node")
          .option("path", path).format("parquet").saveAsTable(name))
     return spark.table(name), lambda: spark.sql(f"DROP TABLE IF EXISTS {name}")
 
