@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bizlens.llm import exact_dedup, jaccard_join, mixing, packing
@@ -26,6 +26,20 @@ def with_row(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS, F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("_row"))
 
 
+def node_of(rows: DataFrame) -> Column:
+    """A number of its own for every row of `rows` (with _row), in the order of the ids wherever they leave room for it:
+    copies mostly follow their original, and the Jaccard join compares with the smallest of a group first. The bits
+    below the id come from _row; where they do not tell all rows apart, or the ids leave none, it is _row itself."""
+    span = rows.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+    low, high = span["low"] or 0, span["high"] or 0
+    room = 62 - (high + 1 - low).bit_length()
+    if room >= 8:
+        node = F.shiftleft(F.coalesce(F.col("doc_id"), F.lit(high + 1)) - F.lit(low), room).bitwiseOR(F.col("_row").bitwiseAND(F.lit((1 << room) - 1)))
+        if rows.groupBy(node.alias("_node")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+            return node
+    return F.col("_row")
+
+
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """`docs` (with _row) without the rows in `dropped` (id, row), and each of the others once."""
     gone = dropped.select(F.col("doc_id").alias("_id"), F.col("row").alias("_gone")).distinct()
@@ -58,9 +72,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """The smallest id of every group of linked documents (a row without an id only where no other is in the group)."""
     rows_at_a_time(spark, 1_000)
     rows = with_row(docs)
-    found = jaccard_join.jaccard_join(rows, id_col="_row").select(F.col("doc_id").alias("row"), "component_id")
-    groups = found.where("row <> component_id").select("component_id").distinct()
-    members = found.join(groups, "component_id").join(rows.select("doc_id", F.col("_row").alias("row")), "row").distinct()
+    node = node_of(rows)
+    found = jaccard_join.jaccard_join(rows.withColumn("_node", node), id_col="_node").select(F.col("doc_id").alias("node"), "component_id")
+    groups = found.where("node <> component_id").select("component_id").distinct()
+    members = found.join(groups, "component_id").join(rows.select(node.alias("node"), "doc_id", F.col("_row").alias("row")), "node").drop("node").distinct()
     first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"))
     return without(rows, members.join(first, "component_id").where(F.col("row") != F.col("first.row")).select("doc_id", "row"))
 
