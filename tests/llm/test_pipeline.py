@@ -83,3 +83,15 @@ def test_mixing_plan_is_the_small_side(spark, monkeypatch, plan_rows):
 @pytest.mark.parametrize("stage", [f for _, f in cp.STAGES])
 def test_stages_of_nothing(spark, sf, stage):
     assert stage(spark, docs_of(spark, [(1, "x")]).where("false"), sf).count() == 0
+
+
+def test_nodes_follow_ids_and_tell_rows_apart(spark):
+    def nodes(pairs):
+        df = cp.with_row(docs_of(spark, pairs))
+        return df.select("doc_id", "text", cp.node_of(df).alias("node"), "_row").collect()
+
+    few = nodes([(7, "a"), (7, "b"), (2, "c"), (None, "d"), (10**12, "e")])
+    assert len({r.node for r in few}) == 5
+    assert [r.doc_id for r in sorted(few, key=lambda r: r.node)] == [2, 7, 7, 10**12, None]
+    wide = nodes([(-(2**62), "a"), (2**62, "b"), (5, "c"), (5, "d")])  # ids that leave no room
+    assert len({r.node for r in wide}) == 4 and all(r.node == r._row for r in wide)
