@@ -17,7 +17,7 @@ def tokenizer() -> str:
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
