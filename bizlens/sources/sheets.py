@@ -7,59 +7,42 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-def _layouts(spark: SparkSession, paths, sep: str, encoding: str) -> list[tuple[list[str], DataFrame]]:
-    """The distinct header rows of the files, each with the table of files (`_file`) that have it. One row a layout
-    reaches the driver."""
-    lines = spark.read.text(paths).where("_metadata.file_block_start = 0 and trim(value) <> ''").select(
-        F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_row"), "value")
-    first = lines.groupBy("_file").agg(F.min_by("value", "_row").alias("_header"))
-    out = []
-    for row in first.select("_header").distinct().collect():
-        raw = row["_header"] if encoding == "UTF-8" else row["_header"].encode("utf-8", "replace").decode(encoding, "replace")
-        names = [n.lstrip("\ufeff").strip() for n in next(csv.reader([raw], delimiter=sep))]
-        out.append((names, first.where(F.col("_header") == row["_header"]).select("_file")))
-    return out
-
-
-def _read(spark: SparkSession, paths, sep: str, encoding: str) -> DataFrame:
-    """Cells by column name, whatever order a file has its columns in; a quoted cell may hold line breaks."""
-    out = None
-    layouts = _layouts(spark, paths, sep, encoding)
-    for names, files in layouts:
-        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-        raw = spark.read.schema(schema).csv(paths, sep=sep, header=True, encoding=encoding, quote='"', escape='"', mode="PERMISSIVE", multiLine=True)
-        cells = [F.coalesce(F.trim(F.col(f"c{i}")), F.lit("")).alias(n) for i, n in enumerate(names)]
-        part = raw.select(F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_row"), *cells)
-        if len(layouts) > 1:
-            part = part.join(files, "_file", "left_semi")
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
-        raise ValueError("no header row found")
-    return out.fillna("", [c for c in out.columns if not c.startswith("_")]) if len(layouts) > 1 else out
+
+from bizlens.sources import records
+
+
+def _names(header: bytes, sep: str, encoding: str) -> list[str]:
+    text = header.decode(encoding, "replace").replace("\r\n", "\n").removesuffix("\r")
+    return [n.lstrip("\ufeff").strip() for n in next(csv.reader([text], delimiter=sep))]
 
 
 def read_sheet(spark: SparkSession, paths: str | Sequence[str], sep: str = ",", encoding: str = "auto") -> DataFrame:
     """All cells as trimmed text (blank = ''), with `import_id` (the file) and `source_row` (position in it, first data row = 2).
 
     Files are matched by column name; a column that a file lacks is blank there. Under `auto`, a file that is not valid
-    UTF-8 is read again as Latin-1. A quoted cell may span lines, so one task reads a whole file, in order, and a row's
-    position is its place after the file's first row.
+    UTF-8 is Latin-1. A quoted cell may span lines, and one large file is still read by many tasks (`records`). Lines end
+    with a line feed; where the header's has a carriage return before it, those inside cells become line feeds. All layouts are read in one pass; one row a layout reaches the driver.
     """
-    sheet = _read(spark, paths, sep, "UTF-8" if encoding == "auto" else encoding)
-    if encoding == "auto":
-        cells = [c for c in sheet.columns if not c.startswith("_")]
-        broken = F.lit(False)
-        for c in cells:
-            broken = broken | F.col(f"`{c}`").contains("�")
-        bad = sheet.where(broken).select("_file").distinct()
-        latin = _read(spark, paths, sep, "ISO-8859-1")
-        sheet = sheet.join(bad, "_file", "left_anti").unionByName(latin.join(bad, "_file", "left_semi"), allowMissingColumns=True)
-    first = sheet.groupBy("_file").agg(F.min("_row").alias("_first"))
-    keep = [c for c in sheet.columns if not c.startswith("_")]
-    return sheet.join(first, "_file").select(F.col("_file").alias("import_id"), (F.col("_row") - F.col("_first") + 2).alias("source_row"), *[F.col(f"`{c}`") for c in keep])
+    if encoding.upper().replace("_", "-").startswith(("UTF-16", "UTF-32")):
+        raise ValueError("sheets are read in encodings that keep ASCII bytes")
+    found, layouts = records.read_records(spark, paths, sep, encoding)
+    heads = layouts.collect()
+    names = {r["layout"]: _names(bytes(r["header"]), sep, encoding if encoding != "auto" else "utf-8" if r["utf8"] else "iso-8859-1") for r in heads}
+    if not names:
+        raise ValueError("no header row found")
+    windows = F.col("layout").isin([r["layout"] for r in heads if r["header"].endswith(b"\r")])
+    record = F.when(windows, F.replace("record", F.lit("\r\n"), F.lit("\n"))).otherwise(F.col("record"))
+    rows = found.where("number > 0").withColumn("_c", records.cells(record, max(map(len, names.values())), sep))
+    places: dict[str, dict[int, list[int]]] = {}
+    for layout, columns in names.items():
+        for n in dict.fromkeys(columns):
+            places.setdefault(n, {}).setdefault(columns.index(n), []).append(layout)
+
+    def cell(at: dict[int, list[int]]) -> Column:
+        held = [F.when(F.col("layout").isin(keys), F.col(f"_c.c{i}")) for i, keys in at.items()]
+        return F.coalesce(F.trim(F.coalesce(*held)), F.lit(""))
+
+    return rows.select(F.col("file").alias("import_id"), (F.col("number") + 1).alias("source_row"), *[cell(at).alias(n) for n, at in places.items()])
 
 
 def batch_ids(spark: SparkSession, paths: str | Sequence[str], kind: str) -> DataFrame:
