@@ -145,16 +145,24 @@ def group_counts(listed: DataFrame) -> DataFrame:
     return listed.groupBy("business_id", "as_of", "group", "disqualified_reason").agg(F.count(F.lit(1)).alias("leads"))
 
 
-def apply_corrections(leads: DataFrame, corrections: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The owner's latest valid correction per lead and field; rows with a value outside the list are refused."""
+def apply_corrections(leads: DataFrame, corrections: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """The owner's latest valid correction per lead and field, and the refused corrections (lead_id, at, field, value, outcome_date).
+
+    `intents` takes a comma-separated list of known intents; the lead's `intent` becomes the first of it. An outcome takes its
+    date with it: none where the lead is open again, else the day the owner gave or the day before `as_of`. Adds `intents` and
+    `intents_corrected`. Of corrections at the same time the largest value holds; a null field or value is refused.
+    """
+    listed = F.split("value", ",")
     ok = ((F.col("field") == "relationship") & F.col("value").isin(*RELATIONSHIPS)) | ((F.col("field") == "outcome") & F.col("value").isin(*OUTCOMES)) | (
-        (F.col("field") == "intent") & F.col("value").isin(*tx.INTENTS))
-    last = corrections.where(ok).groupBy("lead_id").agg(*[
-        F.max(F.when(F.col("field") == f, F.struct("at", "value")))["value"].alias(f"new_{f}") for f in ("relationship", "outcome", "intent")])
-    fixed = leads.join(last, "lead_id", "left")
-    for f in ("relationship", "outcome", "intent"):
-        fixed = fixed.withColumn(f, F.coalesce(f"new_{f}", f))
-    return fixed.drop("new_relationship", "new_outcome", "new_intent"), corrections.where(~F.coalesce(ok, F.lit(False)))
+        (F.col("field") == "intents") & (F.size(F.array_except(listed, F.array(*[F.lit(i) for i in tx.INTENTS]))) == 0))
+    fields = ("relationship", "outcome", "intents")
+    last = corrections.where(ok).groupBy("lead_id").agg(*[F.max(F.when(F.col("field") == f, F.struct("at", "value", "outcome_date"))).alias(f"_{f}") for f in fields])
+    outcome, intents = F.col("_outcome.value"), F.split("_intents.value", ",")
+    day = F.when(outcome.isNull(), F.col("outcome_date")).when(outcome != "open", F.coalesce("_outcome.outcome_date", F.date_sub(as_of, 1)))
+    fixed = leads.join(last, "lead_id", "left").withColumns({
+        "relationship": F.coalesce("_relationship.value", "relationship"), "outcome": F.coalesce(outcome, "outcome"), "outcome_date": day,
+        "intent": F.coalesce(intents[0], "intent"), "intents": F.coalesce(intents, F.array("intent")), "intents_corrected": intents.isNotNull()})
+    return fixed.drop(*[f"_{f}" for f in fields]), corrections.where(~F.coalesce(ok, F.lit(False)))
 
 
 # ---------------------------------------------------------------- learning

@@ -154,12 +154,20 @@ ORACLES = {
 }
 register("correction", ("ev",), """
     SELECT *, (field = 'relationship' AND value IN ('friend', 'friend_of_friend', 'stranger', 'unknown')) OR (field = 'outcome' AND value IN ('open', 'ordered', 'not_ordered'))
-              OR (field = 'intent' AND value IN ('buying_question', 'product_interest', 'general_praise', 'custom_request', 'not_a_lead')) AS ok
-    FROM (SELECT 'lead_' || user_id || '_' || CAST(day AS VARCHAR) AS lead_id, event_id AS "at", CASE event_id % 3 WHEN 0 THEN 'relationship' WHEN 1 THEN 'outcome' ELSE 'intent' END AS field,
+              OR (field = 'intents' AND list_has_all(['buying_question', 'product_interest', 'general_praise', 'custom_request', 'not_a_lead'], string_split(value, ','))) AS ok
+    FROM (SELECT 'lead_' || user_id || '_' || CAST(day AS VARCHAR) AS lead_id, event_id AS "at", CASE event_id % 3 WHEN 0 THEN 'relationship' WHEN 1 THEN 'outcome' ELSE 'intents' END AS field,
                  CASE event_id % 3 WHEN 0 THEN CASE WHEN event_id % 2 = 0 THEN 'stranger' ELSE 'enemy' END WHEN 1 THEN CASE WHEN event_id % 4 < 2 THEN 'ordered' ELSE 'open' END
-                      ELSE CASE WHEN event_id % 5 = 0 THEN 'maybe' ELSE 'buying_question' END END AS value FROM ev WHERE event_type IN ('error', 'signup'))""")
+                      ELSE CASE event_id % 5 WHEN 0 THEN 'maybe' WHEN 1 THEN 'custom_request,buying_question' WHEN 2 THEN 'buying_question,maybe' ELSE 'buying_question' END END AS value,
+                 CASE WHEN event_id % 3 = 1 AND event_id % 5 < 2 THEN CAST(day AS DATE) + 3 END AS outcome_date FROM ev WHERE event_type IN ('error', 'signup'))""")
+register("corrected", ("lead", "correction"), """
+    SELECT business_id, lead_id, coalesce(r, relationship) AS relationship, coalesce(o.v, outcome) AS outcome, coalesce(i[1], intent) AS intent,
+           CASE WHEN o IS NULL THEN CAST(outcome_date AS DATE) WHEN o.v <> 'open' THEN coalesce(o.d, DATE '{day}' - 1) END AS outcome_date,
+           array_to_string(coalesce(i, [intent]), ',') AS intents, i IS NOT NULL AS intents_corrected
+    FROM lead LEFT JOIN (SELECT lead_id, max_by(value, "at") FILTER (field = 'relationship') AS r, max_by({{'v': value, 'd': outcome_date}}, "at") FILTER (field = 'outcome') AS o,
+                                string_split(max_by(value, "at") FILTER (field = 'intents'), ',') AS i FROM correction WHERE ok GROUP BY 1) USING (lead_id)""".format(day=LEARN_DAY))
 ORACLES["g14_corrections"] = with_views("""
-    SELECT l.lead_id, coalesce(max_by(c.value, c."at") FILTER (c.ok AND c.field = 'relationship'), any_value(l.relationship)) AS relationship,
-           coalesce(max_by(c.value, c."at") FILTER (c.ok AND c.field = 'outcome'), any_value(l.outcome)) AS outcome,
-           coalesce(max_by(c.value, c."at") FILTER (c.ok AND c.field = 'intent'), any_value(l.intent)) AS intent, 'lead' AS kind FROM lead l LEFT JOIN correction c ON c.lead_id = l.lead_id GROUP BY 1
-    UNION ALL SELECT lead_id, field, value, CAST("at" AS VARCHAR), 'refused' FROM correction WHERE NOT ok""", "lead", "correction")
+    SELECT lead_id, relationship, outcome, intent, CAST(outcome_date AS VARCHAR) AS outcome_date, intents, intents_corrected, 'lead' AS kind FROM corrected
+    UNION ALL SELECT lead_id, field, value, CAST("at" AS VARCHAR), NULL, NULL, NULL, 'refused' FROM correction WHERE NOT ok""", "corrected", "correction")
+ORACLES["g14_closed_by_day"] = with_views(f"""
+    SELECT business_id, CAST(outcome_date AS VARCHAR) AS day, count(*) AS closed, count(*) FILTER (outcome = 'ordered') AS ordered FROM corrected
+    WHERE outcome IN ('ordered', 'not_ordered') AND outcome_date < DATE '{LEARN_DAY}' GROUP BY 1, 2""", "corrected")

@@ -78,15 +78,29 @@ def corrections(s, d):
     e = Tables(s, d).events().where(F.col("event_type").isin("error", "signup"))
     k = F.col("event_id")
     return e.select(bd.lead_id(F.col("user_id"), F.col("day")).alias("lead_id"), k.alias("at"),
-                    F.when(k % 3 == 0, "relationship").when(k % 3 == 1, "outcome").otherwise("intent").alias("field"),
+                    F.when(k % 3 == 0, "relationship").when(k % 3 == 1, "outcome").otherwise("intents").alias("field"),
                     F.when(k % 3 == 0, F.when(k % 2 == 0, "stranger").otherwise("enemy")).when(k % 3 == 1, F.when(k % 4 < 2, "ordered").otherwise("open"))
-                    .otherwise(F.when(k % 5 == 0, "maybe").otherwise("buying_question")).alias("value"))
+                    .otherwise(F.when(k % 5 == 0, "maybe").when(k % 5 == 1, "custom_request,buying_question").when(k % 5 == 2, "buying_question,maybe").otherwise("buying_question")).alias("value"),
+                    F.when((k % 3 == 1) & (k % 5 < 2), F.date_add("day", 3)).alias("outcome_date"))
+
+
+def corrected(s, d):
+    return ld.apply_corrections(Tables(s, d).leads(), corrections(s, d), F.lit(LEARN_DAY).cast("date"))
 
 
 def g14(s, d):
-    fixed, refused = ld.apply_corrections(Tables(s, d).leads(), corrections(s, d))
-    a = fixed.select("lead_id", "relationship", "outcome", "intent", F.lit("lead").alias("kind"))
-    return a.unionByName(refused.select("lead_id", F.col("field").alias("relationship"), F.col("value").alias("outcome"), F.col("at").cast("string").alias("intent"), F.lit("refused").alias("kind")))
+    fixed, refused = corrected(s, d)
+    a = fixed.select("lead_id", "relationship", "outcome", "intent", F.col("outcome_date").cast("string").alias("outcome_date"), F.array_join("intents", ",").alias("intents"), "intents_corrected",
+                     F.lit("lead").alias("kind"))
+    return a.unionByName(refused.select("lead_id", F.col("field").alias("relationship"), F.col("value").alias("outcome"), F.col("at").cast("string").alias("intent"), F.lit("refused").alias("kind")),
+                         allowMissingColumns=True)
+
+
+def g14_closed(s, d):
+    """Leads closed on each day before the learning day, as they stand after the owner's corrections."""
+    fixed, _ = corrected(s, d)
+    closed = fixed.where(F.col("outcome").isin("ordered", "not_ordered") & (F.col("outcome_date") < F.lit(LEARN_DAY).cast("date")))
+    return closed.groupBy("business_id", F.col("outcome_date").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("closed"), F.count(F.when(F.col("outcome") == "ordered", 1)).alias("ordered"))
 
 
 def learning(s, d):
@@ -111,7 +125,7 @@ QUERIES = {
     "g11_ranked_list": lambda s, d: ld.ranked(daily(s, d)).select("business_id", "lead_id", F.col("as_of").cast("string").alias("as_of"), "group", "score", "rank"),
     "g12_last_activity": g12,
     "g13_group_counts": lambda s, d: day(ld.group_counts(daily(s, d))),
-    "g14_corrections": g14,
+    "g14_corrections": g14, "g14_closed_by_day": g14_closed,
     "g15_conversion_by_group": lambda s, d: ld.conversion_by_group(learning(s, d)),
     "g16_conversion_by_signal": lambda s, d: ld.conversion_by_signal(learning(s, d)),
     "g17_health_checks": lambda s, d: ld.health_checks(ld.conversion_by_group(learning(s, d))),
