@@ -86,6 +86,18 @@ def text_errors(docs: DataFrame, unknown: DataFrame, bad_numbers: DataFrame, key
     return j.select(*keys, F.coalesce(size, rest).alias("errors"))
 
 
+def answer_errors(answers: DataFrame, unknown: DataFrame, bad_numbers: DataFrame, keys: list[str]) -> DataFrame:
+    """Error list per answer (`text`, `cited` = number of citations): length, unknown citations, ungrounded numbers, and numbers
+    without any citation. A null text is empty, which breaks the length limit; such an answer reports only that."""
+    u = unknown.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set("fact_id")), ",").alias("unknown"))
+    n = bad_numbers.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set("token")), ",").alias("numbers"))
+    j = answers.join(u, keys, "left").join(n, keys, "left").withColumn("_text", F.coalesce("text", F.lit("")))
+    uncited = F.col("numbers").isNull() & (F.coalesce("cited", F.lit(0)) == 0) & (F.size(numbers_in(F.col("_text"))) > 0)
+    rest = F.concat_ws("; ", F.when(F.col("unknown").isNotNull(), F.concat(F.lit("unknown citations: "), "unknown")),
+                       F.when(F.col("numbers").isNotNull(), F.concat(F.lit("numbers not in the evidence packet: "), "numbers")), F.when(uncited, "numbers without a cited fact"))
+    return j.select(*keys, F.when(~F.length("_text").between(1, MAX_LENGTH), "schema").otherwise(rest).alias("errors"))
+
+
 def retrieve(questions: DataFrame, facts: DataFrame) -> DataFrame:
     """Up to four facts per question by keyword hits, facts in table order on ties.
 

@@ -19,6 +19,10 @@ ORACLES = {
     "o04_text_errors": with_views(f"""
         SELECT business_id, week_no, doc_fact, CASE WHEN length(text) < 20 OR length(text) > 900 THEN 'schema' ELSE concat_ws('; ', 'unknown evidence_ids: ' || unknown, CASE WHEN wrong THEN 'numbers not in the evidence packet: ' || token END,
                CASE WHEN no_paid_ads AND regexp_matches(text, '{PAID_ADS}') THEN 'constraint violation: suggests paid ads' END) END AS errors FROM sentence""", "sentence"),
+    "o04_answer_errors": with_views("""
+        SELECT business_id, week_no, doc_fact, CASE WHEN coalesce(length(text), 0) NOT BETWEEN 1 AND 900 THEN 'schema' ELSE concat_ws('; ', CASE WHEN week_no % 2 = 1 THEN 'unknown citations: ' || unknown END,
+               CASE WHEN wrong THEN 'numbers not in the evidence packet: ' || token END, CASE WHEN NOT wrong AND week_no % 2 = 0 AND text <> 'Too short' THEN 'numbers without a cited fact' END) END AS errors
+        FROM sentence""", "sentence"),
     "o05_fact_retrieval": with_views(f"""
         SELECT question_id, fact_id, hits, pos FROM (SELECT question_id, fact_id, hits, row_number() OVER (PARTITION BY question_id ORDER BY hits DESC, {_PLACE}) AS pos FROM (
             SELECT question_id, business_id, week_no, kpi, count(*) AS hits FROM (

@@ -41,6 +41,9 @@ ORACLES = {
         SELECT business_id, CAST(as_of AS VARCHAR) AS as_of, kind, value, CASE kind WHEN 'city' THEN 'deliver to ' WHEN 'size' THEN 'make size ' WHEN 'design' THEN 'make ' ELSE 'offer ' END || value AS phrase, count(*) AS count
         FROM (SELECT business_id, as_of, split_part(reason, ':', 1) AS kind, CASE WHEN reason LIKE 'city%' THEN replace(reason, 'city: cannot deliver to ', '') WHEN reason LIKE 'size%' THEN regexp_extract(reason, '^size: (.*) is not available$', 1)
                      ELSE regexp_extract(reason, '^design: (.*)$', 1) END AS value FROM listed WHERE grp = 'disqualified') GROUP BY 1, 2, 3, 4""", "listed"),
+    "m04_closed_outcomes": with_views("""
+        SELECT n.business_id, CAST(n.as_of AS VARCHAR) AS as_of, count(*) FILTER (l.outcome = 'ordered') AS ordered, count(*) FILTER (l.outcome = 'not_ordered') AS not_ordered
+        FROM lead_snapshot n LEFT JOIN lead l ON l.business_id = n.business_id AND l.outcome_date < n.as_of GROUP BY 1, 2""", "lead_snapshot", "lead"),
     "m05_risk_flags": with_views(f"""
         SELECT business_id, CAST(as_of AS VARCHAR) AS as_of, lead_id, nullif({_RISK}, '') AS risk_terms FROM (SELECT *, CASE WHEN length(draft) % 3 = 0 THEN draft || ' Nike style' ELSE draft END AS t FROM draft)""", "draft"),
 }

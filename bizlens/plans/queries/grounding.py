@@ -53,6 +53,14 @@ def o04(s, d):
     return gr.text_errors(docs.drop("fact_id"), unknown, bad(f), KEYS)
 
 
+def o04_answers(s, d):
+    """The sentences as answers, those of even weeks without a citation."""
+    f = facts(s, d)
+    docs = documents_of(f).withColumn("cited", F.col("week_no") % 2)
+    unknown = gr.unknown_citations(docs.where("cited > 0").select(*KEYS, "fact_id"), f.select("business_id", "week_no", F.col("fact_id").alias("doc_fact"), "fact_id"), KEYS)
+    return gr.answer_errors(docs.drop("fact_id"), unknown, bad(f), KEYS)
+
+
 def o05(s, d):
     c = Tables(s, d).read("conversations").where(F.col("role") == "user")
     texts = ["How many new customers came from outside my circle?", "Is my margin or profit falling, what do I earn?", "Why are deliveries late and slow?", "Do people come back, how often do they repeat?",
@@ -64,5 +72,6 @@ def o05(s, d):
 
 
 QUERIES = {
-    "o01_numbers_in_text": o01, "o02_number_pool": o02, "o03_ungrounded_numbers": lambda s, d: bad(facts(s, d)), "o04_text_errors": o04, "o05_fact_retrieval": o05,
+    "o01_numbers_in_text": o01, "o02_number_pool": o02, "o03_ungrounded_numbers": lambda s, d: bad(facts(s, d)), "o04_text_errors": o04,
+    "o04_answer_errors": o04_answers, "o05_fact_retrieval": o05,
 }

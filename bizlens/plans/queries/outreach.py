@@ -59,5 +59,6 @@ QUERIES = {
     "m02_warm_reasons": lambda s, d: m02(s, d).withColumn("as_of", F.col("as_of").cast("string")),
     "m03_reply_texts": drafts,
     "m04_unmet_demand": lambda s, d: ot.unmet_demand(daily(s, d)).withColumn("as_of", F.col("as_of").cast("string")),
+    "m04_closed_outcomes": lambda s, d: ot.closed_outcomes(Tables(s, d).leads(), Tables(s, d).lead_snapshots()).withColumn("as_of", F.col("as_of").cast("string")),
     "m05_risk_flags": m05,
 }
