@@ -88,6 +88,13 @@ def brand_risk(matches: DataFrame) -> DataFrame:
     return matches.groupBy("business_id").agg(F.array_join(F.array_sort(F.collect_set("term")), ", ").alias("terms"), F.countDistinct("name").alias("products"))  # at most 38 terms
 
 
+def action_risk(cands: DataFrame, risk: DataFrame) -> DataFrame:
+    """Brand risk of every action of a business with protected terms in its product names: high where the action makes the
+    products more visible, else medium. Businesses without such terms have no rows."""
+    level = F.when(F.col("raises_visibility"), "high").otherwise("medium")
+    return cands.join(risk, "business_id").select(*KEYS, "action_key", level.alias("level"), "terms", "products")
+
+
 def product_demand(leads: DataFrame, products: DataFrame) -> DataFrame:
     """Products by how many leads asked for them."""
     return leads.join(products.select("business_id", F.col("name").alias("product")), ["business_id", "product"], "left_semi").groupBy("business_id", "product").agg(
@@ -105,10 +112,13 @@ def product_picks(products: DataFrame, demand: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- candidates
 def situation(snapshots: DataFrame, profile: DataFrame, partners: DataFrame, upcoming: DataFrame, products: DataFrame, facts: DataFrame) -> DataFrame:
-    """One row per (business, snapshot) with everything the gate and the scores read."""
+    """One row per (business, snapshot) with everything the gate and the scores read. A profile may name kinds of action that
+    the owner forbids (`forbidden_actions`); null or no such column forbids none."""
     buyers = facts.where("fact_id = 'f_repeat_customer_share'").select(*KEYS, F.col("denominator").alias("past_buyers"))
     nxt = upcoming.groupBy(*KEYS).agg(F.min("window_start").alias("next_window"))
-    p = profile.select("business_id", "growth_minutes", "ad_budget_inr")
+    no_kinds = F.array().cast("array<string>")
+    forbidden = F.coalesce("forbidden_actions", no_kinds) if "forbidden_actions" in profile.columns else no_kinds
+    p = profile.select("business_id", "growth_minutes", "ad_budget_inr", forbidden.alias("forbidden_actions"))
     return snapshots.select(*KEYS, "as_of").join(p, "business_id").join(partners, "business_id", "left").join(products, "business_id", "left").join(
         nxt, KEYS, "left").join(buyers, KEYS, "left").withColumn("window_days", F.datediff("next_window", "as_of"))
 
@@ -120,10 +130,9 @@ def _money(c: Column) -> Column:
 def candidates(sit: DataFrame, lib: DataFrame, facts: DataFrame) -> DataFrame:
     """Every library action for every situation: gated, scored and with its target. The library has 16 rows."""
     c = sit.join(F.broadcast(lib))
-    paid = (F.col("kind") == "paid_ads") | (F.col("cost_inr") > F.col("ad_budget_inr"))
+    # paid ads and kinds that the owner forbids never pass; of the others the cost decides
+    paid = (F.col("kind") == "paid_ads") | F.expr("array_contains(forbidden_actions, kind)") | (F.col("cost_inr") > F.col("ad_budget_inr"))
     ads = F.when(paid, F.concat(F.lit("Needs INR "), _money(F.col("cost_inr")), F.lit(" for ads; your ad budget is INR "), _money(F.col("ad_budget_inr")), F.lit(", so paid ads are not an option.")))
-    # a business without an ad budget forbids paid ads; with one, the cost decides
-    ads = F.when((F.col("kind") == "paid_ads") | paid, ads)
     hours = F.when(F.col("effort_min") > F.col("growth_minutes"), F.concat(F.lit("Needs "), F.col("effort_min").cast("string"), F.lit(" minutes; you have "),
                                                                            F.col("growth_minutes").cast("string"), F.lit(" minutes a week for growth.")))
     need = F.col("needs")

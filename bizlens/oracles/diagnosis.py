@@ -60,7 +60,7 @@ register("asked", ("lead", "product"), """
     SELECT l.business_id, lead_id, names[1 + (user_id * user_id) % len(names)] AS product FROM lead l JOIN (SELECT business_id, list(name ORDER BY name) AS names FROM product GROUP BY 1) USING (business_id)""")
 register("ask_count", ("asked",), "SELECT business_id, product, count(*) AS asks FROM asked GROUP BY 1, 2")
 register("sit", ("snapshots", "profile", "ranked_partner", "product", "ask_count", "event_window", "fact"), """
-    SELECT s.*, p.growth_minutes, p.ad_budget_inr, t.partner_id AS top_partner, t.score AS top_score, c.partner_id AS community, c.score AS community_score, low_margin, missing_costs, most_asked,
+    SELECT s.*, p.growth_minutes, p.ad_budget_inr, p.forbidden_actions, t.partner_id AS top_partner, t.score AS top_score, c.partner_id AS community, c.score AS community_score, low_margin, missing_costs, most_asked,
            (SELECT min(window_start) FROM event_window WHERE window_start > s.as_of AND window_start <= s.as_of + 21) - s.as_of AS window_days,
            (SELECT denominator FROM fact f WHERE f.business_id = s.business_id AND f.week_no = s.week_no AND f.fact_id = 'f_repeat_customer_share') AS past_buyers
     FROM snapshots s JOIN profile p USING (business_id) LEFT JOIN (SELECT * FROM ranked_partner WHERE rank = 1) t USING (business_id)
@@ -68,7 +68,7 @@ register("sit", ("snapshots", "profile", "ranked_partner", "product", "ask_count
     LEFT JOIN (SELECT business_id, arg_min(name, ROW(CASE WHEN price > 0 THEN (price - coalesce(unit_cost, 0)) / price ELSE 1 END, first_key, name)) AS low_margin, count(CASE WHEN unit_cost IS NULL THEN 1 END) AS missing_costs FROM product GROUP BY 1) l USING (business_id)
     LEFT JOIN (SELECT business_id, arg_min(product, ROW(-asks, product)) AS most_asked FROM ask_count GROUP BY 1) m USING (business_id)""")
 register("cand0", ("sit", "lib"), f"""
-    SELECT *, CASE WHEN kind = 'paid_ads' OR cost_inr > ad_budget_inr THEN 'Needs INR ' || format('{{:,}}', cost_inr) || ' for ads; your ad budget is INR ' || format('{{:,}}', ad_budget_inr) || ', so paid ads are not an option.'
+    SELECT *, CASE WHEN kind = 'paid_ads' OR list_contains(forbidden_actions, kind) OR cost_inr > ad_budget_inr THEN 'Needs INR ' || format('{{:,}}', cost_inr) || ' for ads; your ad budget is INR ' || format('{{:,}}', ad_budget_inr) || ', so paid ads are not an option.'
                    WHEN effort_min > growth_minutes THEN 'Needs ' || effort_min || ' minutes; you have ' || growth_minutes || ' minutes a week for growth.'
                    WHEN needs = 'reach_candidates' AND top_partner IS NULL THEN 'No reach partners are listed (add a few fan pages, creators or communities).'
                    WHEN needs = 'demand_window' AND window_days IS NULL THEN 'No demand window in the next 3 weeks.' WHEN needs = 'past_buyers' AND coalesce(past_buyers, 0) < 5 THEN 'Fewer than 5 past buyers.'
@@ -165,6 +165,10 @@ ORACLES = {
     "l07_selection": with_views("SELECT business_id, week_no, bottleneck, action_key, score FROM cand JOIN picked USING (business_id, week_no, bottleneck, action_key)", "cand", "picked"),
     "l08_partner_ranking": with_views("SELECT business_id, partner_id, audience, location, engagement, CAST(past AS DOUBLE) AS past, score, blocked, rank FROM ranked_partner", "ranked_partner"),
     "l09_protected_terms": f"SELECT business_id, name, term FROM {_NAMES}, ({values([(t,) for t in PROTECTED_TERMS], 'term')}) WHERE regexp_matches(name, '(?i)(^|[^[:word:]])' || regexp_escape(term) || '([^[:word:]]|$)')",
+    "l09_action_risk": with_views(f"""
+        SELECT c.business_id, c.week_no, c.action_key, CASE WHEN raises_visibility THEN 'high' ELSE 'medium' END AS level, terms, products FROM cand c
+        JOIN (SELECT business_id, string_agg(DISTINCT term, ', ' ORDER BY term) AS terms, count(DISTINCT name) AS products FROM {_NAMES}, ({values([(t,) for t in PROTECTED_TERMS], 'term')})
+              WHERE regexp_matches(name, '(?i)(^|[^[:word:]])' || regexp_escape(term) || '([^[:word:]]|$)') GROUP BY 1) r ON r.business_id = c.business_id""", "cand"),
     "l10_product_demand": with_views("SELECT * FROM ask_count", "ask_count"),
     "l11_preferences": with_views(f"""
         SELECT business_id, week_no, action_key, eligible AND preference IS DISTINCT FROM 'exclude' AS eligible,

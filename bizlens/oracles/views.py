@@ -36,6 +36,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
               FROM lineitem JOIN order_business b ON l_orderkey = b.order_id GROUP BY 1, 2, 3)"""),
     "profile": (("businesses",), """
         SELECT business_id, 'Shop ' || business_id AS name, business_id + 8 AS capacity, CASE WHEN business_id % 3 = 0 THEN 500 ELSE 0 END AS ad_budget_inr,
+               CASE WHEN business_id % 3 = 0 THEN [] WHEN business_id = 4 THEN ['paid_ads', 'pricing'] ELSE ['paid_ads'] END AS forbidden_actions,
                60 + business_id * 40 AS growth_minutes, CASE WHEN business_id % 2 = 0 THEN 'Pune' ELSE 'Mumbai' END AS city,
                'topic' || (business_id % 4) AS topic, 'shop' || business_id || '.example/order' AS order_link, 'UPI' AS payment
         FROM businesses"""),

@@ -114,6 +114,7 @@ class Tables:
         return self.businesses().select(
             b, F.concat(F.lit("Shop "), b.cast("string")).alias("name"), (b + 8).alias("capacity"),
             F.when(b % 3 == 0, 500).otherwise(0).cast("bigint").alias("ad_budget_inr"),
+            F.when(b % 3 == 0, F.array().cast("array<string>")).when(b == 4, F.array(F.lit("paid_ads"), F.lit("pricing"))).otherwise(F.array(F.lit("paid_ads"))).alias("forbidden_actions"),
             (F.lit(60) + b * 40).cast("bigint").alias("growth_minutes"),
             F.when(b % 2 == 0, "Pune").otherwise("Mumbai").alias("city"),
             F.array(F.lit("Pune"), F.lit("Mumbai"), F.lit("Delhi")).alias("serves_cities"),

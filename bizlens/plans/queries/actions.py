@@ -51,6 +51,7 @@ QUERIES = {
     "l07_selection": lambda s, d: ac.select_actions(candidates(s, d), [*KEYS, "bottleneck"]).where("chosen").select(*KEYS, "bottleneck", "action_key", "score"),
     "l08_partner_ranking": lambda s, d: partners(s, d).select("business_id", "partner_id", "audience", "location", "engagement", "past", "score", "blocked", "rank"),
     "l09_protected_terms": lambda s, d: ac.protected_matches(branded_products(s, d)),
+    "l09_action_risk": lambda s, d: ac.action_risk(candidates(s, d), ac.brand_risk(ac.protected_matches(branded_products(s, d)))),
     "l10_product_demand": lambda s, d: ac.product_demand(asked(s, d), Tables(s, d).products()),
     "l11_preferences": lambda s, d: ac.apply_preferences(candidates(s, d), preferences(s, d)).select(*GATED, "score"),
     "l12_week_actions": week_actions,
