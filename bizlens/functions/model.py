@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,27 @@ OUTCOMES = ("nonexistent", "failure", "success")
 NEVER = 999
 # ---- end of fixed values
 
+
+@dataclass(frozen=True)
+class Model:
+    """What scoring needs: scaler by numeric feature, weights in the order of FEATURES, and the calibration as
+    ("none",), ("sigmoid", a, b) or ("isotonic", thresholds, values)."""
+
+    scaler: dict
+    coef: tuple
+    intercept: float
+    calibration: tuple
+    base_rate: float
+
+    def calibrated(self, *calibration) -> Model:
+        return replace(self, calibration=calibration)
+
+    def calibrate(self, p: Column) -> Column:
+        kind, *rest = self.calibration
+        return calibrate_sigmoid(p, *rest) if kind == "sigmoid" else calibrate_isotonic(p, *rest) if kind == "isotonic" else p
+
+
+STORED = Model(SCALER, COEF, INTERCEPT, ("sigmoid", *CALIBRATION), BASE_RATE)
 ATTRIBUTES = ("previous_outcome", "prior_contacts", "days_since_last_contact", "contacts_this_campaign")
 GROUPS = {"contact_history": ATTRIBUTES[:3], "contacts_this_campaign": ATTRIBUTES[3:]}
 
@@ -43,11 +65,11 @@ def missing_fields(channel: Column | None = None) -> Column:
     return F.filter(F.array(*tests), lambda x: x.isNotNull())
 
 
-def raw_probability(attrs: dict[str, Column]) -> Column:
-    z = F.lit(INTERCEPT)
-    for name, x, w in zip(FEATURES, encode(attrs), COEF):
-        if name in SCALER:
-            mean, std = SCALER[name]
+def raw_probability(attrs: dict[str, Column], m: Model = STORED) -> Column:
+    z = F.lit(m.intercept)
+    for name, x, w in zip(FEATURES, encode(attrs), m.coef):
+        if name in m.scaler:
+            mean, std = m.scaler[name]
             x = (x - mean) / std
         z = z + F.lit(w) * x
     return sigmoid(z)
@@ -59,31 +81,32 @@ def calibrate_sigmoid(p: Column, a: float = CALIBRATION[0], b: float = CALIBRATI
 
 
 def calibrate_isotonic(p: Column, xs: Sequence[float], ys: Sequence[float]) -> Column:
-    """Piecewise linear between stored thresholds, flat beyond the ends."""
-    expr = F.when(p <= xs[0], ys[0])
-    for x0, x1, y0, y1 in zip(xs, xs[1:], ys, ys[1:]):
-        expr = expr.when(p < x1, F.lit(float(y0)) if x1 == x0 else F.lit(float(y0)) + F.lit(float(y1 - y0)) * (p - x0) / (x1 - x0))
-    return expr.otherwise(float(ys[-1]))
+    """Piecewise linear between stored thresholds, flat beyond the ends. The thresholds are two literal arrays, so the
+    plan does not grow with their number."""
+    x, y = F.array(*[F.lit(float(v)) for v in xs]), F.array(*[F.lit(float(v)) for v in ys])
+    last = F.size(F.filter(x, lambda v: v <= p))  # thresholds at or below p
+    x0, x1, y0, y1 = F.get(x, last - 1), F.get(x, last), F.get(y, last - 1), F.get(y, last)
+    return F.when(p.isNull(), F.lit(None).cast("double")).when(last == 0, float(ys[0])).when(last == len(xs), float(ys[-1])).otherwise(y0 + (y1 - y0) * (p - x0) / (x1 - x0))
 
 
 def columns_of(attrs: Sequence[str] = ATTRIBUTES) -> dict[str, Column]:
     return {a: F.col(a) for a in attrs}
 
 
-def with_probability(rows: DataFrame) -> DataFrame:
-    return settle(rows.withColumn("raw_p", raw_probability(columns_of()))).withColumn("p", calibrate_sigmoid(F.col("raw_p")))
+def with_probability(rows: DataFrame, m: Model = STORED) -> DataFrame:
+    return settle(rows.withColumn("raw_p", raw_probability(columns_of(), m))).withColumn("p", m.calibrate(F.col("raw_p")))
 
 
-def with_contributions(rows: DataFrame, top: int = 4, least: float = 0.005) -> DataFrame:
+def with_contributions(rows: DataFrame, top: int = 4, least: float = 0.005, m: Model = STORED) -> DataFrame:
     """Effect of each group of attributes against the reference row, the largest first, as text."""
     cur = rows
     for name, members in GROUPS.items():
         alt = {a: F.lit(REFERENCE[a]) if a in members else F.col(a) for a in ATTRIBUTES}
-        cur = cur.withColumn(f"alt_{name}", raw_probability(alt))
+        cur = cur.withColumn(f"alt_{name}", raw_probability(alt, m))
     cur = settle(cur)
     parts = []
     for name in GROUPS:
-        cur = cur.withColumn(f"c_{name}", half_even(F.col("p") - calibrate_sigmoid(F.col(f"alt_{name}")), 3))
+        cur = cur.withColumn(f"c_{name}", half_even(F.col("p") - m.calibrate(F.col(f"alt_{name}")), 3))
         parts.append(F.struct((-F.abs(f"c_{name}")).alias("size"), F.lit(name).alias("name"), F.col(f"c_{name}").alias("c")))
     kept = F.slice(F.filter(F.array_sort(F.array(*parts)), lambda x: x["size"] <= -least), 1, top)
     return cur.withColumn("factors", F.concat_ws("; ", F.transform(kept, lambda x: F.concat(x["name"], F.lit(" "), F.format_string("%.3f", x["c"]))))).drop(

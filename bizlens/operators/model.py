@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.ml import functions as MF
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,32 +135,5 @@ def predict(model, df: DataFrame) -> DataFrame:
     return out.withColumn("p", F.get(MF.vector_to_array("probability"), F.lit(1))).drop("rawPrediction", "probability", "prediction")
 
 
-def out_of_fold(cells: DataFrame, total: float, c: float, folds: int = 4) -> DataFrame:
-    """Cells of each block predicted by a model that never saw the block."""
-    own = {r["fold"]: r["rows"] for r in cells.groupBy("fold").agg(F.sum("w").alias("rows")).collect()}  # one row a fold
-    parts = None
-    for f in range(folds):
-        fitted = fit_lr(cells.where(F.col("fold") != f), total - own.get(f, 0.0), c)
-        part = predict(fitted, cells.where(F.col("fold") == f))
-        parts = part if parts is None else parts.unionByName(part)
-    return parts.withColumn("model", F.lit(f"C={c}"))
-
-
-def calibrator_scores(oof: DataFrame, folds: int = 4) -> DataFrame:
-    """Cross-validated Brier score of the sigmoid and the isotonic calibrator on out-of-fold predictions."""
-    q = F.least(F.greatest(F.col("p"), F.lit(1e-6)), F.lit(1 - 1e-6))
-    data = with_vector(oof.withColumn("logit", F.log(q / (1 - q))).select("fold", "y", "w", "p", "logit"), ["logit"]).persist()
-    rows = None
-    for f in range(folds):
-        train, test = data.where(F.col("fold") != f), data.where(F.col("fold") == f)
-        sig = predict(LogisticRegression(labelCol="y", weightCol="w", maxIter=MAX_STEPS, regParam=0.0).fit(train), test.drop("p")).select("fold", "y", "w", "p", F.lit("sigmoid").alias("method"))
-        iso = IsotonicRegression(featuresCol="p", labelCol="y", weightCol="w", predictionCol="cal").fit(train).transform(test)
-        part = sig.unionByName(iso.select("fold", "y", "w", F.col("cal").alias("p"), F.lit("isotonic").alias("method")))
-        rows = part if rows is None else rows.unionByName(part)
-    err = F.col("w") * (F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))
-    per = rows.groupBy("method", "fold").agg((F.sum(err) / F.sum("w")).alias("b"))
-    return per.groupBy("method").agg(half_even(F.avg("b"), 6).alias("cv_brier"))
-
-
 def fit_trees(cells: DataFrame):
     return GBTClassifier(labelCol="y", weightCol="w", maxIter=TREES, maxDepth=3, stepSize=0.05, seed=0).fit(cells)

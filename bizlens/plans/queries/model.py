@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from bizlens.functions import model as mdl
 from bizlens.functions.numbers import half_even
 from bizlens.operators import model as om
+from bizlens.operators import training as tr
 from bizlens.plans import bindings as bd
 from bizlens.plans.bindings import Tables
+from bizlens.session import scratch_path
 from bizlens.sources.tables import materialise, stored
 
 ISOTONIC = ((0.0, 0.5, 1.0), (0.1, 0.4, 0.9))
@@ -54,54 +56,78 @@ MONTHS = [f"m_{m}" for m in range(2, 13)]
 
 
 def development(s, d, months=False):
-    """(weighted cells of the development set with their fold, scaler row, rows in it, hold-out rows); cells are cached, every fit reads them."""
+    """(weighted cells of the development set with their fold, scaler row, rows in it, hold-out rows); cells are written once, every fit reads them."""
     feats = om.feature_rows(split_rows(s, d).withColumn("y", F.col("y").cast("double")))
     if months:
         feats = feats.select("*", *[F.when(F.col("month") == m, 1.0).otherwise(0.0).alias(f"m_{m}") for m in range(2, 13)])
     dev = feats.where("not hold_out").withColumn("fold", om.block_of(F.col("idx"), F.floor(F.lit(0.8) * F.col("n_rows")), 4))
     stats = om.scaler(dev)
-    cells = om.with_vector(om.scaled(om.training_cells(dev, ["fold", *RAW, *(MONTHS if months else [])]), stats), RAW)
-    cells = materialise(cells.drop("features"), "cells")  # a few thousand weighted cells at any input size
-    cells = om.with_vector(cells, RAW).persist()
+    cells_of = om.with_vector(om.scaled(om.training_cells(dev, ["fold", *RAW, *(MONTHS if months else [])]), stats), RAW)
+    # a few thousand weighted cells at any input size
+    cells = om.with_vector(stored(s, d, "cells-by-month" if months else "cells", lambda: cells_of.drop("features")), RAW)
     return cells, stats, cells.agg(F.sum("w")).first()[0], feats.where("hold_out")
 
 
 def h09(s, d):
-    cells, _, n, _ = development(s, d)
-    return om.out_of_fold(cells, n, 1.0).select("fold", *[half_even(F.col(c), 6).alias(c) for c in RAW], "y", "w", half_even(F.col("p"), 4).alias("p"))
+    cells = development(s, d)[0]
+    return tr.out_of_fold(cells, RAW, tr.fit_all(cells, RAW, [(1.0, f) for f in range(tr.FOLDS)])).select("fold", *[half_even(F.col(c), 6).alias(c) for c in RAW], "y", "w", half_even(F.col("p"), 4).alias("p"))
 
 
 def h10(s, d):
-    cells, _, n, _ = development(s, d)
-    parts = None
-    for c in (0.01, 0.1, 1.0, 10.0):
-        p = om.out_of_fold(cells, n, c).select("model", "p", "y", "w")
-        parts = p if parts is None else parts.unionByName(p)
-    return om.ranking_metrics(parts, weight="w").select(F.col("model").alias("regularisation"), half_even(F.col("pr_auc"), 4).alias("oof_pr_auc"))
+    """Out-of-fold PR-AUC of every strength, and which one is chosen."""
+    return tr.strength_grid(development(s, d)[0], RAW)[1].select(
+        F.concat(F.lit("C="), F.col("c").cast("string")).alias("regularisation"), half_even(F.col("oof_pr_auc"), 4).alias("oof_pr_auc"), "chosen")
 
 
 def h11(s, d):
-    cells, _, n, _ = development(s, d)
-    return om.calibrator_scores(om.out_of_fold(cells, n, 1.0))
+    """Cross-validated Brier scores of the calibrators on the chosen strength's out-of-fold predictions."""
+    cells = development(s, d)[0]
+    fits, grid = tr.strength_grid(cells, RAW)
+    best = grid.where("chosen").first()["c"]
+    return tr.calibrator_choice(tr.out_of_fold(cells, RAW, fits.where(F.col("c") == best)))
 
 
-def challengers(s, d, fitted=None):
+def challengers(s, d, fitted=None, strength=1.0):
     cells, stats, n, test = fitted or development(s, d, months=True)
     test = om.scaled(test, stats).select("idx", "y", *RAW, *MONTHS)
     seen = om.with_vector(cells.drop("features"), RAW + MONTHS)
     trees = om.predict(om.fit_trees(cells), om.with_vector(test, RAW)).select("idx", "y", "p", F.lit("boosted_trees").alias("model"))
-    month = om.predict(om.fit_lr(seen, n, 1.0), om.with_vector(test, RAW + MONTHS)).select("idx", "y", "p", F.lit("with_month").alias("model"))
+    month = om.predict(om.fit_lr(seen, n, strength), om.with_vector(test, RAW + MONTHS)).select("idx", "y", "p", F.lit("with_month").alias("model"))
     return trees.unionByName(month)
 
 
+def shipped(s, d):
+    """(model read back from its written table, the fit under every calibrator, the choices) of the development set."""
+    cells, stats, _, _ = development(s, d)
+    model, forms, chosen = tr.train(cells, stats)
+    path = scratch_path(s, "lead-model")
+    tr.save_model(s, model, path)
+    return tr.load_model(s, path), forms, chosen
+
+
+def scored_hold_out(s, d):
+    """Every hold-out contact scored by the model as it was written: probability and what drives it."""
+    model = shipped(s, d)[0]
+    rows = mdl.with_contributions(mdl.with_probability(split_rows(s, d).where("hold_out"), model), m=model)
+    return rows.select("order_id", "y", half_even(F.col("raw_p"), 6).alias("raw_p"), half_even(F.col("p"), 6).alias("p"), "factors")
+
+
 def h15(s, d):
-    fitted = cells, stats, n, test = development(s, d, months=True)
-    test = om.scaled(test, stats).select("idx", "y", *RAW)
-    lr = om.predict(om.fit_lr(cells, n, 1.0), om.with_vector(test, RAW)).select("idx", "y", "p", F.lit("logistic_regression").alias("model"))
+    """Hold-out metrics of the constant rate, the fit without and with each calibrator, the shipped model as written, the
+    boosted challenger and the fit with months; beside them the choices and the positive rates, whose gap is the drift."""
+    fitted = cells, _, _, test = development(s, d, months=True)
+    model, forms, chosen = shipped(s, d)
+    names = {"none": "logistic_regression", "sigmoid": "logistic_regression_sigmoid", "isotonic": "logistic_regression_isotonic"}
+    hold_out = split_rows(s, d).where("hold_out")
+    parts = challengers(s, d, fitted, chosen["strength"])
+    for name, m in [*((names[k], m) for k, m in forms.items()), ("shipped", model)]:
+        parts = parts.unionByName(mdl.with_probability(hold_out, m).select("idx", F.col("y").cast("double").alias("y"), "p", F.lit(name).alias("model")))
     base = cells.agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("p"))  # one row
     const = test.select("idx", "y").crossJoin(F.broadcast(base)).select("idx", "y", "p", F.lit("constant_baseline").alias("model"))
-    rows = materialise(lr.unionByName(const).unionByName(challengers(s, d, fitted)), "report-scores")
-    return om.ranking_metrics(rows).join(om.calibration_metrics(rows), "model").crossJoin(F.broadcast(base.select(half_even(F.col("p"), 4).alias("development_rate"))))
+    rows = materialise(parts.unionByName(const), "report-scores")
+    return om.ranking_metrics(rows).join(om.calibration_metrics(rows), "model").crossJoin(F.broadcast(base.select(half_even(F.col("p"), 4).alias("development_rate")))).select(
+        "*", F.lit(chosen["strength"]).alias("chosen_strength"), F.lit(chosen["calibrator"]).alias("chosen_calibrator"),
+        half_even(F.col("prevalence") - F.col("development_rate"), 4).alias("rate_drift"))
 
 
 QUERIES = {
@@ -116,5 +142,5 @@ QUERIES = {
     "h12_challengers": lambda s, d: om.ranking_metrics(challengers(s, d)),
     "h13_ranking_metrics": lambda s, d: om.ranking_metrics(hold_out_scores(s, d)),
     "h14_calibration_metrics": lambda s, d: om.calibration_metrics(hold_out_scores(s, d)),
-    "h15_model_report": h15,
+    "h15_model_report": h15, "h15_shipped_scores": scored_hold_out,
 }

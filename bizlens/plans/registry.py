@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 AREAS = ("sources", "imports", "order_metrics", "d2c", "facts", "leads", "model", "calendar", "projection", "diagnosis",
          "actions", "outreach", "followup", "grounding", "streams")
-#: Run after all others: each trains 200 rounds of trees.
-SLOW = ("h12_challengers", "h15_model_report")
+#: Run after all others: the whole training, two of them with 200 rounds of trees.
+SLOW = ("h15_shipped_scores", "h12_challengers", "h15_model_report")
 
 
 def _modules(package: str):
