@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bizlens.operators import actions as ac
+from bizlens.operators import advice_loop as al
 from bizlens.operators import diagnosis as dx
 from bizlens.operators import followup as fu
 from bizlens.plans.bindings import Tables
@@ -19,6 +20,13 @@ def week(s, d):
     return f, v, stored(s, d, "reviews", lambda: fu.reviews(ac.week_actions(candidates(s, d), ac.target_bottleneck(v), status(s, d)), f))
 
 
+def steered(s, d):
+    """Every week's actions, steered by the review of the week before, with their evidence."""
+    f, v = facts(s, d), dx.verdict(findings(s, d))
+    advice = al.advice_loop(candidates(s, d), ac.target_bottleneck(v), status(s, d), f)
+    return al.with_evidence(advice, dx.cards(dx.rated_facts(f), dx.window_orders(f)))
+
+
 def demand_view(s, d):
     return fu.demand(facts(s, d))
 
@@ -49,6 +57,7 @@ QUERIES = {
     "n02_demand": demand_view,
     "n03_shared_targets": lambda s, d: fu.shared_targets(week(s, d)[2]).select("business_id", "week_no", "action_id", "attribution_note"),
     "n04_preferences": lambda s, d: fu.preferences(week(s, d)[2]),
+    "n04_advice_loop": steered,
     "n05_followups": n05, "n06_four_week_arc": n06,
     "n07_partner_history": lambda s, d: fu.partner_history(Tables(s, d).partner_results()),
     "n08_outcome_grading": lambda s, d: fu.grade_outcomes(plans(s, d)),
