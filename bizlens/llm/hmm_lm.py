@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from bizlens.llm.common import shuffles_freed, written
 from bizlens.llm.textops import LOWER, as_long, buffers, row_slices, word_bounds, word_hashes
 
+log = logging.getLogger(__name__)
 BATCH_BYTES = 1 << 20
 BLOCK = 2048  # symbols in one row of summed counts
 
@@ -22,10 +24,12 @@ BLOCK = 2048  # symbols in one row of summed counts
 class Settings:
     """`top`: words with an emission of their own; all others are emitted through one of 256 classes by their last two
     bytes and then by their count in the class. Every Baum-Welch iteration and every count reads all training texts;
-    iterations go on until the summed log likelihood gains less than `tolerance` of itself."""
+    iterations go on until the summed log likelihood has gained less than `tolerance` of itself `patience` times in a
+    row, as a plateau may hold one small gain before larger ones."""
     states: int = 8
     top: int = 60_000
     tolerance: float = 1e-4
+    patience: int = 3
     cells: int = 1 << 20
     width: int = 512
     pull: float = 40.0
@@ -330,12 +334,14 @@ def train(encoded: DataFrame, lex: Lexicon, s: Settings) -> tuple[Model, np.ndar
     u /= u.sum()
     model = first_model(u, s)
     training = encoded.where("train")
-    before = -np.inf
-    while True:
+    before, small, gains = -np.inf, 0, []
+    while small < s.patience:
         model, now = baum_welch(training, model, u, s)
-        if now - before <= s.tolerance * -now:
-            return model, u
+        gains.append((now - before) / -now if now < 0 else 0.0)
+        small = small + 1 if gains[-1] <= s.tolerance else 0
         before = now
+    log.info("Baum-Welch: %d iterations, relative gains %s", len(gains), " ".join(f"{g:.1e}" for g in gains[1:]))
+    return model, u
 
 
 def _score(raw: bytes, symbols: int, s: Settings):
