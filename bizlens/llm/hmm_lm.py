@@ -216,12 +216,13 @@ def forward(model: Model, lengths: np.ndarray, m: np.ndarray, keep: bool = False
     ll = np.zeros(m.shape[1])
     alive = np.searchsorted(-lengths, -np.arange(1, len(m) + 1), "right")  # columns that have a symbol at each time
     alphas, scales, a = [], [], None
+    emit = np.ascontiguousarray(model.emit)
     for t in range(len(m)):
         b = alive[t]
-        e = model.emit[m[t, :b]]
+        e = emit.take(m[t, :b], axis=0)  # several times faster than indexing
         a = (model.start if t == 0 else a[:b] @ model.move) * e
         c = a.sum(1)
-        a = a / c[:, None]
+        a /= c[:, None]
         ll[:b] += np.log(c)
         if keep:
             alphas.append(a), scales.append(c)
@@ -232,6 +233,7 @@ def expect(model: Model, symbols: list[np.ndarray], end: int, s: Settings):
     """Expected starts, moves and emissions (symbols x K) and the log likelihood of some texts."""
     k = len(model.start)
     start, move, emit, total = np.zeros(k), np.zeros((k, k)), np.zeros((k, end + 1)), 0.0
+    model = Model(model.start, model.move, np.ascontiguousarray(model.emit))
     for _, lengths, m in groups_of(symbols, end, s):
         ll, alphas, scales = forward(model, lengths, m, keep=True)
         total += ll.sum()
@@ -241,7 +243,9 @@ def expect(model: Model, symbols: list[np.ndarray], end: int, s: Settings):
             b = len(alphas[t])
             full = np.ones((b, k), model.emit.dtype)
             if len(beta):  # the columns that go on past t
-                x = model.emit[m[t + 1, :len(beta)]] * beta / scales[t + 1][:, None]
+                x = model.emit.take(m[t + 1, :len(beta)], axis=0)
+                x *= beta
+                x /= scales[t + 1][:, None]
                 move += alphas[t][:len(beta)].T @ x
                 full[:len(beta)] = x @ model.move.T
             beta = full

@@ -218,6 +218,27 @@ def test_hmm_trains_on_all_texts_until_converged(spark, sf):
     assert after - now < 1.5e-4 * -now
 
 
+def test_hmm_forward_equals_the_plain_recursion_to_the_bit():
+    rng = np.random.default_rng(3)
+    for dtype in (np.float32, np.float64):
+        symbols, k = 20_000, 8
+        m = hmm_lm.Model(*(x.astype(dtype) for x in (rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(symbols), k).T)))
+        texts = [rng.integers(0, symbols - 1, 300 + i % 40).astype(np.uint16) for i in range(512)]
+        (_, lengths, mat), = hmm_lm.groups_of(texts, symbols - 1, hmm_lm.Settings())
+
+        def plain():
+            ll, a = np.zeros(mat.shape[1]), None
+            for t in range(len(mat)):
+                b = int((lengths > t).sum())
+                a = (m.start if t == 0 else a[:b] @ m.move) * m.emit[mat[t, :b]]
+                c = a.sum(1)
+                a = a / c[:, None]
+                ll[:b] += np.log(c)
+            return ll
+
+        assert np.array_equal(plain(), hmm_lm.forward(m, lengths, mat)[0])
+
+
 def test_mixing(spark):
     rnd = random.Random(4)
     docs = documents(spark, [(i, "w " * rnd.randint(1, 40)) for i in range(600)] + [(700, None)]).withColumn(
