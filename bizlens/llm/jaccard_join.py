@@ -20,7 +20,9 @@ from bizlens.llm.textops import LOWER, as_long, buffers, grams, mix, row_slices,
 
 BATCH_BYTES = 1 << 20
 ID_BUCKETS = 1 << 20
-SKETCH = 8  # 64-bit words of a parity sketch
+HELD_PAIRS = 1 << 18
+SKETCH = 8  # 64-bit words of a parity sketch, at least
+SENT = 64  # and at most of those that go to the signature groups
 
 
 @dataclass(frozen=True)
@@ -264,32 +266,53 @@ def signatures(items: np.ndarray, s: Settings) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def sketch(items: np.ndarray) -> np.ndarray:
-    """Parity of the items in each of 64 * SKETCH cells; two sketches differ in no more bits than their sets in items."""
-    bit = np.bincount((mix(items) >> np.uint64(64 - 9)).astype(np.int64), minlength=64 * SKETCH) & 1
+def sketch(items: np.ndarray, words: int = SKETCH) -> np.ndarray:
+    """Parity of the items in each of 64 * words cells; two sketches differ in no more bits than their sets in items. The
+    xor of its halves is the sketch of half the words (a power of two)."""
+    bit = np.bincount((mix(items) & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(bit.astype(np.uint8)).view(np.uint64)
 
 
 def wide_sketch(items: np.ndarray) -> np.ndarray:
     """A parity sketch with a bit or more per item, so that it tells large sets apart as well."""
-    cells = max(64 * SKETCH, 1 << int(len(items) - 1).bit_length())
-    bit = np.bincount((mix(items) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
-    return np.packbits(bit.astype(np.uint8)).view(np.uint64)
+    return sketch(items, max(SKETCH, (1 << int(len(items) - 1).bit_length()) // 64))
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (the last axis), folded to at most so many words."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
 
 
 def least_distance(a: np.ndarray, b: np.ndarray) -> int:
     """A lower bound of the Hamming distance from two wide sketches; the longer is folded to the other's size."""
-    while len(a) > len(b):
-        a = a[:len(a) // 2] ^ a[len(a) // 2:]
-    while len(b) > len(a):
-        b = b[:len(b) // 2] ^ b[len(b) // 2:]
-    return int(np.bitwise_count(a ^ b).sum())
+    return int(np.bitwise_count(folded(a, len(b)) ^ folded(b, len(a))).sum())
+
+
+def levels(sketches: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For every size from SKETCH words up: the sketches that have it, folded to it, and each one's row there (-1: none)."""
+    words = pc.binary_length(sketches).to_numpy() // 8
+    out, size = [], SKETCH
+    while size <= words.max():
+        has = np.flatnonzero(words >= size)
+        place = np.full(len(words), -1)
+        place[has] = np.arange(len(has))
+        bits = np.empty((len(has), size), np.uint64)
+        for w in np.unique(words[has]):
+            raw = b"".join(sketches.take(pa.array(np.flatnonzero(words == w))).to_pylist())
+            bits[words[has] == w] = folded(np.frombuffer(raw, np.uint64).reshape(-1, w), size)
+        out.append((place, bits))
+        size *= 2
+    return out
 
 
 def _widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         items = [np.frombuffer(x.as_py(), np.uint64) for x in b.column("items")]
-        bits = [pa.array([f(x).tobytes() for x in items], pa.binary()) for f in (wide_sketch, sketch)]
+        wide = [wide_sketch(x) for x in items]
+        bits = [pa.array([x.tobytes() for x in some], pa.binary()) for some in (wide, [folded(x, SENT) for x in wide])]
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "n", "items")), *bits], names=["node", "n", "items", "wide", "sketch"])
 
 
@@ -314,6 +337,22 @@ def _signed(s: Settings):
     return run
 
 
+def _shared_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of signature groups with several nodes, and the least of each. A group is named by its members, so that
+    groups of the same members, which near copies have by the hundred, become one; two that share a name by chance would
+    only be compared as one. Rows are sorted by signature."""
+    for t, edge in _sorted_groups(batches, "sig"):
+        node, size = t.column("node").to_numpy(), np.diff(edge)
+        low = np.minimum.reduceat(node, edge[:-1])
+        name = np.add.reduceat(mix(node.view(np.uint64)), edge[:-1])
+        several = np.flatnonzero(low != np.maximum.reduceat(node, edge[:-1]))
+        once = np.zeros(len(size), bool)
+        once[several[np.unique(name[several], return_index=True)[1]]] = True
+        if once.any():
+            rows = np.repeat(once, size)
+            yield pa.RecordBatch.from_arrays([as_long(np.repeat(name, size)[rows]), pa.array(node[rows]), pa.array(np.repeat(low, size)[rows])], names=["sig", "node", "lead"])
+
+
 def _several(column: str, least: str):
     """The rows of signature groups with more than one value of `column`, and the least one of the group as `least`.
     Rows are sorted by signature."""
@@ -333,19 +372,47 @@ def _across(s: Settings, small: int, most: int):
     """Pairs of a signature group that lie in different components and whose sizes and sketches allow a link.
 
     Of groups with more than `small` members only the `most` nearest partners of a member in a component are sent; a
-    row with `cut` says that there are more. `most` = 0 sends all.
+    row with `cut` says that there are more. `most` = 0 sends all pairs of these groups and none of the others, which
+    have been compared whole before.
     """
     def allowed(t, i, j):
-        node, comp, n, bits = t
-        far = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
-        return (far * (100 + s.percent) <= (100 - s.percent) * (n[i] + n[j])) & (np.minimum(n[i], n[j]) * 100 >= s.percent * np.maximum(n[i], n[j])), far
+        """Whether a link is possible, and a lower bound of the distance: by each size that both sketches have, for the
+        pairs that the smaller sizes leave."""
+        n, far = t[2], np.zeros(len(i), np.int64)
+        ok = np.minimum(n[i], n[j]) * 100 >= s.percent * np.maximum(n[i], n[j])
+        for place, bits in t[3]:
+            at = np.flatnonzero(ok & (place[i] >= 0) & (place[j] >= 0))
+            if not len(at):
+                continue
+            x, y = i[at], j[at]
+            far[at] = np.bitwise_count(bits[place[x]] ^ bits[place[y]]).sum(1, dtype=np.int64)
+            ok[at] = far[at] * (100 + s.percent) <= (100 - s.percent) * (n[x] + n[y])
+        return ok, far
 
-    def batch(t, i, j, cut):
+    def pairs(t, i, j, cut):
         node, comp = t[0], t[1]
-        pairs = np.unique(np.stack([node[i], node[j], comp[i], comp[j], np.asarray(cut, np.int64)], 1), axis=0) if len(i) else np.zeros((0, 5), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in range(5)], names=["a", "b", "ca", "cb", "cut"])
+        i, j = np.where(node[i] <= node[j], i, j), np.where(node[i] <= node[j], j, i)
+        return np.stack([node[i], node[j], comp[i], comp[j], np.asarray(cut, np.int64)], 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A pair shares many signatures, so a task sends it once for as many groups as fit in memory."""
+        held, rows = [], 0
+        for some in found(batches):
+            held.append(some)
+            rows += len(some)
+            if rows > 2 * HELD_PAIRS:
+                held = [np.unique(np.concatenate(held), axis=0)]
+                rows = len(held[0])
+                if rows > HELD_PAIRS:
+                    yield batch(held[0])
+                    held, rows = [], 0
+        if held:
+            yield batch(np.unique(np.concatenate(held), axis=0))
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(5)], names=["a", "b", "ca", "cb", "cut"])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for table, edge in _sorted_groups(batches, "sig"):
             comp = table.column("component").to_numpy()
             mixed = np.minimum.reduceat(comp, edge[:-1]) != np.maximum.reduceat(comp, edge[:-1])
@@ -354,17 +421,15 @@ def _across(s: Settings, small: int, most: int):
             size = np.diff(edge)
             rows = np.flatnonzero(np.repeat(mixed, size))
             table, size = table.take(pa.array(rows)), size[mixed]
-            sketch = table.column("sketch").combine_chunks()
-            bits = np.frombuffer(b"".join(sketch.to_pylist()), np.uint64).reshape(-1, SKETCH)
-            t = (*(table.column(c).to_numpy() for c in ("node", "component", "n")), bits)
+            t = (*(table.column(c).to_numpy() for c in ("node", "component", "n")), levels(table.column("sketch").combine_chunks()))
             first = np.concatenate([[0], np.cumsum(size)])
             group = np.repeat(np.arange(len(size)), size)
             few = np.repeat(size <= small, size)
-            for d in range(1, int(min(small, size.max()))):  # members d places apart, all small groups at once
+            for d in range(1, int(min(small, size.max())) if most else 0):  # members d places apart, all small groups at once
                 i = np.flatnonzero(few[:-d] & (group[:-d] == group[d:]) & (t[1][:-d] != t[1][d:]))
                 ok, _ = allowed(t, i, i + d)
                 if ok.any():
-                    yield batch(t, i[ok], i[ok] + d, np.zeros(int(ok.sum())))
+                    yield pairs(t, i[ok], i[ok] + d, np.zeros(int(ok.sum())))
             for g in np.flatnonzero(size > small):
                 x, y = int(first[g]), int(first[g + 1])
                 for i in range(x, y):
@@ -383,7 +448,7 @@ def _across(s: Settings, small: int, most: int):
                         keep = place < most
                         cut = np.repeat(np.diff(edge_j) > most, np.diff(edge_j))[keep]
                         j = j[keep]
-                    yield batch(t, np.full(len(j), i), j, cut)
+                    yield pairs(t, np.full(len(j), i), j, cut)
     return run
 
 
@@ -417,11 +482,12 @@ def links(sets: DataFrame, s: Settings) -> DataFrame:
     rule out: in large groups with the nearest ones first, and with all of them if that leaves components apart. Two
     members of one component need no comparison.
 
-    Sets are signed once. Of the signatures those that several sets share are written, without the sets; each later round
-    reads them, keeps the groups that still span components, and only then attaches sizes and sketches.
+    Sets are signed once. Of the signatures those that several sets share are written, without the sets and once for groups
+    of the same members; each later round reads them, keeps the groups that still span components, and only then attaches
+    sizes and sketches.
     """
     shared, drop = written_for_now(sets.select("node", "items").mapInArrow(_signed(s), "sig long, node long").repartition("sig").sortWithinPartitions("sig")
-                                   .mapInArrow(_several("node", "lead"), "sig long, node long, lead long"), "jaccard-signatures")
+                                   .mapInArrow(_shared_groups, "sig long, node long, lead long").dropDuplicates(["sig", "node"]), "jaccard-signatures")
     star = shared.where("lead <> node").groupBy(F.col("node").alias("b")).agg(F.min("lead").alias("a"))
     found = connected_components(verified(star, sets, s))
     sketches = sets.select("node", "n", "sketch")

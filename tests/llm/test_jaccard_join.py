@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from bizlens.llm import graph
@@ -94,6 +95,34 @@ def test_part_enum_loses_no_pair():
             assert far <= len(a) + len(b) - 2 * both
 
 
+def test_large_sets_are_told_apart_in_their_group():
+    rng = np.random.default_rng(6)
+    far = [rng.integers(0, 2**63, 1500, dtype=np.uint64) for _ in range(3)]
+    near = np.concatenate([far[0][100:], rng.integers(0, 2**63, 100, dtype=np.uint64)])
+    sets = [*far, near, far[0][:1400]]  # 0 links with 3 and 4
+    bits = [jj.folded(jj.wide_sketch(x), jj.SENT).tobytes() for x in sets]
+    n = len(sets)
+    group = pa.RecordBatch.from_arrays([pa.array([7] * n), pa.array(range(n)), pa.array(range(n)), pa.array([len(x) for x in sets]), pa.array(bits, pa.binary())],
+                                       names=["sig", "node", "component", "n", "sketch"])
+    pairs = lambda small, most: {(a, b) for p in jj._across(jj.Settings(), small, most)([group]) for a, b in zip(p.column("a").to_pylist(), p.column("b").to_pylist())}
+    assert pairs(64, 8) == {(0, 3), (0, 4), (3, 4)}
+    assert pairs(2, 0) == {(0, 3), (0, 4), (3, 4)}
+    assert pairs(64, 0) == set()  # compared whole in the first round
+    again = [group.set_column(0, "sig", pa.array([s] * n)) for s in range(50)]
+    assert sum(p.num_rows for p in jj._across(jj.Settings(), 2, 8)(again)) == 3
+
+
+def test_groups_of_the_same_members_are_one():
+    groups = [(1, [5, 9]), (2, [5, 9]), (3, [5, 8, 9]), (4, [6]), (8, [9, 5]), (9, [8, 9])]
+    rows_ = [(s, x) for s, nodes in groups for x in nodes]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows_[i:i + 4])], names=["sig", "node"]) for i in range(0, len(rows_), 4)]
+    got = pa.Table.from_batches(jj._shared_groups(iter(batches))).to_pylist()
+    members = defaultdict(set)
+    for r in got:
+        members[r["sig"]].add((r["node"], r["lead"]))
+    assert sorted(map(sorted, members.values())) == [[(5, 5), (8, 5), (9, 5)], [(5, 5), (9, 5)], [(8, 8), (9, 8)]]
+
+
 def test_components(spark):
     rnd = random.Random(1)
     edges = [(i, i + 1) for i in range(100, 140)] + [(rnd.randrange(60), rnd.randrange(60)) for _ in range(50)] + [(7, 7)]
