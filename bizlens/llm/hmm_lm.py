@@ -18,6 +18,7 @@ from bizlens.llm.textops import LOWER, as_long, buffers, row_slices, word_bounds
 log = logging.getLogger(__name__)
 BATCH_BYTES = 1 << 20
 BLOCK = 2048  # symbols in one row of summed counts
+RUN = 1 << 15  # cells (text by time) whose emissions are gathered at once
 
 
 @dataclass(frozen=True)
@@ -211,50 +212,85 @@ def groups_of(symbols: list[np.ndarray], end: int, s: Settings):
         i += width
 
 
+def runs_of(alive: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(first step, end, columns) of consecutive steps with the same columns, of about `RUN` cells at most."""
+    cuts = [0, *(np.flatnonzero(np.diff(alive)) + 1).tolist(), len(alive)]
+    for x, y in zip(cuts[:-1], cuts[1:]):
+        b = int(alive[x])
+        step = max(1, RUN // b)
+        for t in range(x, y, step):
+            yield t, min(t + step, y), b
+
+
+def _sum_states(a: np.ndarray, out: np.ndarray, half: np.ndarray, quarter: np.ndarray) -> None:
+    """a.sum(1); eight states are added in numpy's own order, two by two, but over all columns at once."""
+    if a.shape[1] != 8 or len(a) < 128:
+        np.add.reduce(a, 1, out=out)
+        return
+    flat = a.reshape(-1)
+    np.add(flat[0::2], flat[1::2], out=half)
+    np.add(half[0::2], half[1::2], out=quarter)
+    np.add(quarter[0::2], quarter[1::2], out=out)
+
+
 def forward(model: Model, lengths: np.ndarray, m: np.ndarray, keep: bool = False):
-    """Natural-log likelihood of every column of `m`; with `keep` also the scaled forward values and scales."""
+    """Natural-log likelihood of every column of `m`; with `keep` also the scaled forward values (steps x columns x
+    states) and scales of each run of steps."""
+    k, kind = len(model.start), model.emit.dtype
     ll = np.zeros(m.shape[1])
     alive = np.searchsorted(-lengths, -np.arange(1, len(m) + 1), "right")  # columns that have a symbol at each time
     alphas, scales, a = [], [], None
     emit = np.ascontiguousarray(model.emit)
-    for t in range(len(m)):
-        b = alive[t]
-        e = emit.take(m[t, :b], axis=0)  # several times faster than indexing
-        a = (model.start if t == 0 else a[:b] @ model.move) * e
-        c = a.sum(1)
-        a /= c[:, None]
-        ll[:b] += np.log(c)
+    for x, y, b in runs_of(alive):
+        run = emit.take(m[x:y, :b], axis=0)  # emissions, which the forward values replace step by step
+        c = np.empty((y - x, b), kind)
+        moved, half, quarter = np.empty((b, k), kind), np.empty(b * 4, kind), np.empty(b * 2, kind)
+        for now, scale in zip(run, c):
+            now *= model.start if a is None else np.matmul(a[:b], model.move, out=moved)
+            _sum_states(now, scale, half, quarter)
+            now /= scale[:, None]
+            a = now
+        ll[:b] = np.add.reduce(np.concatenate([ll[None, :b], np.log(c)]), axis=0)
         if keep:
-            alphas.append(a), scales.append(c)
+            alphas.append(run), scales.append(c)
     return ll, alphas, scales
 
 
 def expect(model: Model, symbols: list[np.ndarray], end: int, s: Settings):
     """Expected starts, moves and emissions (symbols x K) and the log likelihood of some texts."""
-    k = len(model.start)
+    k, kind = len(model.start), model.emit.dtype
     start, move, emit, total = np.zeros(k), np.zeros((k, k)), np.zeros((k, end + 1)), 0.0
     model = Model(model.start, model.move, np.ascontiguousarray(model.emit))
     for _, lengths, m in groups_of(symbols, end, s):
         ll, alphas, scales = forward(model, lengths, m, keep=True)
         total += ll.sum()
-        beta = np.zeros((0, k), model.emit.dtype)
-        seen, gammas = [], []
-        for t in range(len(m) - 1, -1, -1):
-            b = len(alphas[t])
-            full = np.ones((b, k), model.emit.dtype)
-            if len(beta):  # the columns that go on past t
-                x = model.emit.take(m[t + 1, :len(beta)], axis=0)
-                x *= beta
-                x /= scales[t + 1][:, None]
-                move += alphas[t][:len(beta)].T @ x
-                full[:len(beta)] = x @ model.move.T
-            beta = full
-            g = alphas[t] * beta
-            gammas.append(g), seen.append(m[t, :b])
-        start += gammas[-1].sum(0)
-        g, sym = np.concatenate(gammas), np.concatenate(seen)
+        cells = int(lengths.sum())
+        gammas, seen = np.empty((k, cells), kind), np.empty(cells, np.int64)
+        at, y, ahead = 0, len(m), np.zeros((0, k), kind)  # ahead: emission by backward value by scale of the step at y
+        while alphas:
+            run, c = alphas.pop(), scales.pop()
+            n, b = c.shape
+            here = m[y - n:y, :b]
+            after, beta = model.emit.take(here, axis=0), np.ones((n, b, k), kind)
+            if len(ahead):  # the columns that go on past this run
+                move += run[-1][:len(ahead)].T @ ahead
+                beta[-1, :len(ahead)] = ahead @ model.move.T
+            for t in range(n - 1, -1, -1):
+                z = after[t]
+                z *= beta[t]
+                z /= c[t][:, None]
+                if t:
+                    np.matmul(z, model.move.T, out=beta[t - 1])
+            if n > 1:
+                moves = np.matmul(run[:-1].transpose(0, 2, 1), after[1:])
+                move = np.add.reduce(np.concatenate([move[None], moves[::-1]]), axis=0)
+            run *= beta
+            gammas[:, at:at + n * b] = run[::-1].reshape(-1, k).T
+            seen[at:at + n * b] = here[::-1].reshape(-1)
+            at, y, ahead = at + n * b, y - n, after[0]
+        start += run[0].sum(0)
         for i in range(k):
-            emit[i] += np.bincount(sym, weights=g[:, i], minlength=end + 1)
+            emit[i] += np.bincount(seen, weights=gammas[i], minlength=end + 1)
     return start, move * model.move, emit.T, total
 
 

@@ -239,6 +239,53 @@ def test_hmm_forward_equals_the_plain_recursion_to_the_bit():
         assert np.array_equal(plain(), hmm_lm.forward(m, lengths, mat)[0])
 
 
+def test_hmm_expectation_in_runs_equals_the_plain_recursion_to_the_bit():
+    rng = np.random.default_rng(5)
+
+    def plain(m, texts, end, s):
+        k = len(m.start)
+        start, move, emit, total = np.zeros(k), np.zeros((k, k)), np.zeros((k, end + 1)), 0.0
+        for _, lengths, mat in hmm_lm.groups_of(texts, end, s):
+            ll, alphas, scales, a = np.zeros(mat.shape[1]), [], [], None
+            for t in range(len(mat)):
+                b = int((lengths > t).sum())
+                a = (m.start if t == 0 else a[:b] @ m.move) * m.emit[mat[t, :b]]
+                scales.append(a.sum(1))
+                a = a / scales[-1][:, None]
+                alphas.append(a)
+                ll[:b] += np.log(scales[-1])
+            total += ll.sum()
+            beta, seen, gammas = np.zeros((0, k), m.emit.dtype), [], []
+            for t in range(len(mat) - 1, -1, -1):
+                full = np.ones((len(alphas[t]), k), m.emit.dtype)
+                if len(beta):
+                    x = m.emit[mat[t + 1, :len(beta)]] * beta / scales[t + 1][:, None]
+                    move += alphas[t][:len(beta)].T @ x
+                    full[:len(beta)] = x @ m.move.T
+                beta = full
+                gammas.append(alphas[t] * beta), seen.append(mat[t, :len(beta)])
+            start += gammas[-1].sum(0)
+            for i in range(k):
+                emit[i] += np.bincount(np.concatenate(seen), weights=np.concatenate(gammas)[:, i], minlength=end + 1)
+        return start, move * m.move, emit.T, total
+
+    for dtype, k, width in ((np.float32, 8, 512), (np.float64, 8, 150), (np.float32, 3, 7)):
+        symbols = 3000
+        m = hmm_lm.Model(*(x.astype(dtype) for x in (rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(symbols), k).T)))
+        texts = [rng.integers(0, symbols - 1, n).astype(np.uint16) for n in [0, 0, 1, 900, *rng.integers(0, 60, 300), *[200] * 260]]
+        s = hmm_lm.Settings(states=k, width=width)
+        for got, want in zip(hmm_lm.expect(m, texts, symbols - 1, s), plain(m, texts, symbols - 1, s)):
+            assert np.array_equal(got, want)
+
+
+def test_hmm_runs_cover_every_step_once():
+    alive = np.array([500] * 200 + [499] * 3 + [7] + [1] * 100_000)
+    runs = list(hmm_lm.runs_of(alive))
+    assert [t for x, y, _ in runs for t in range(x, y)] == list(range(len(alive)))
+    assert all((alive[x:y] == b).all() and (y - x) * b <= hmm_lm.RUN for x, y, b in runs)
+    assert len(runs) < 15  # a gather per step would be 100,204
+
+
 def test_mixing(spark):
     rnd = random.Random(4)
     docs = documents(spark, [(i, "w " * rnd.randint(1, 40)) for i in range(600)] + [(700, None)]).withColumn(
