@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from bizlens.llm import suffix_dedup as sd
@@ -94,3 +96,43 @@ def test_given_documents(spark, sf):
     for (i, _), want in zip(data, brute([t for _, t in data], 400)):
         r = got[i]
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want, i
+
+
+def test_repeated_rows_get_each_span_once(spark, monkeypatch):
+    rnd = random.Random(7)
+    text = "".join(rnd.choice("abcdefgh ") for _ in range(3000))
+
+    def cut(s):  # n_spans: spans handed to the row, before they are merged
+        def run(batches):
+            for b in batches:
+                n = pa.array([len(x or ()) for x in b.column("_spans").to_pylist()], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column("_id"), n, n, n, pa.array([""] * len(n)), pa.array([[]] * len(n), pa.list_(pa.list_(pa.int64())))],
+                                                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+        return run
+
+    def most(n):
+        return max(r["n_spans"] for r in rows(sd.suffix_dedup(documents(spark, [(None, text)] * n))))
+
+    monkeypatch.setattr(sd, "_cut", cut)
+    assert most(12) == most(2) > 0
+
+
+def test_tasks_hold_a_part_of_a_batch(monkeypatch):
+    monkeypatch.setattr(sd, "PART", 1 << 18, raising=False)
+    rnd = random.Random(8)
+    texts = [rnd.randbytes(4000).hex() if i % 5 else None for i in range(1500)] + ["", rnd.randbytes(250_000).hex()]
+    n = len(texts)
+    size = sum(len((t or "").encode()) for t in texts)
+    text = pa.array([t or "" for t in texts])
+    spans = pa.array([[{"from": 3, "to": 500}] if t and len(t) > 600 else None for t in texts])
+    picks = pa.array([[{"bucket": 1, "c1": i, "c2": i, "pos": 300, "back": 300, "starts": 9}] for i in range(n)])
+    ids = pa.array(range(n), pa.int64())
+    jobs = {sd._anchor_rows: {"_row": ids, "_key": ids, "_text": text}, sd._contexts: {"_text": text, "_picks": picks}, sd._cut: {"_id": ids, "_text": text, "_spans": spans}}
+    for job, cols in jobs.items():
+        b = pa.RecordBatch.from_pydict(cols)
+        list(job(sd.Settings())(iter([b.slice(0, 3)])))  # what is made once does not count
+        tracemalloc.start()
+        made = sum(x.num_rows for x in job(sd.Settings(segment=1 << 14))(iter([b])))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert made >= n - 1 and most < size / 2, (job.__name__, made, most, size)
